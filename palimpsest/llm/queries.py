@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
-QUERIES = {"op9_mixing": mixing.mix_query}
+QUERIES = {
+    "op2_best_fit_packing": packing.pack_query,
+    "op9_mixing": mixing.mix_query,
+}
 ORACLES = {"op9_mixing": mixing.ORACLE}
