@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, token_counts, token_output
 
 QUERIES = {
     "op2_best_fit_packing": packing.pack_query,
+    "op3_token_output": token_output.packed_query,
+    "op5_token_counts": token_counts.count_query,
     "op9_mixing": mixing.mix_query,
 }
 ORACLES = {"op9_mixing": mixing.ORACLE}
