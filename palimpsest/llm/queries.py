@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, minhash, mixing, packing, quality, token_counts, token_output
+from . import language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
 
 QUERIES = {
     "op2_best_fit_packing": packing.pack_query,
     "op3_token_output": token_output.packed_query,
     "op5_token_counts": token_counts.count_query,
     "op6_quality": quality.classify_query,
+    "op7_suffix_dedup": suffix_dedup.find_repeats_query,
     "op8_minhash": minhash.near_duplicates_query,
     "op9_mixing": mixing.mix_query,
     "op10_language": language.language_query,
