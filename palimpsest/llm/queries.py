@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
+from . import embedding_dedup, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
 
 QUERIES = {
     "op2_best_fit_packing": packing.pack_query,
     "op3_token_output": token_output.packed_query,
+    "op4_embedding_dedup": embedding_dedup.near_duplicates_query,
     "op5_token_counts": token_counts.count_query,
     "op6_quality": quality.classify_query,
     "op7_suffix_dedup": suffix_dedup.find_repeats_query,
