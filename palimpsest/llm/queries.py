@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
+from . import embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.fingerprints_query,
     "op2_best_fit_packing": packing.pack_query,
     "op3_token_output": token_output.packed_query,
     "op4_embedding_dedup": embedding_dedup.near_duplicates_query,
