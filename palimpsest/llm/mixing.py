@@ -58,10 +58,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return out.select("source", "source_size", F.coalesce(level, F.lit(most) * F.col("source_size")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken): ``taken`` words of each document, repeats counted."""
-    units = saved(docs.select("doc_id", "source", n_words().alias("size"), unit_hash().alias("h")), "mix")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey")
+def source_key() -> Column:
+    """The source as a join key: null is a key of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
+def units_of(docs: DataFrame) -> DataFrame:
+    return saved(docs.select("doc_id", "source", n_words().alias("size"), unit_hash().alias("h")), "mix")
+
+
+def mixing_plan(units: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(skey, source_size, target, base, t) for each source: its documents are taken ``base`` times, and once more if h < t."""
+    key = source_key().alias("skey")
     sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(0)
@@ -100,12 +108,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
     for x in thresholds:
         last = last.union(x)
-    last = plan.join(saved(last, "thresholds"), "skey", "left")
-    once_more = F.when(F.col("h") < F.coalesce("t", F.lit(0)), 1).otherwise(0)
-    return (
-        units.withColumn("skey", key).join(last, "skey")
-        .select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("base") + once_more)).alias("taken"))
-    )
+    return saved(plan.join(last, "skey", "left").withColumn("t", F.coalesce("t", F.lit(0))).drop("need"), "plan")
+
+
+def times() -> Column:
+    return F.col("base") + F.when(F.col("h") < F.col("t"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken): ``taken`` words of each document, repeats counted."""
+    units = units_of(docs)
+    rows = units.withColumn("skey", source_key()).join(mixing_plan(units, **options), "skey")
+    return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * times()).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs with every row as many times as the mix takes it; the texts are not shuffled."""
+    plan = mixing_plan(units_of(docs), **options)
+    rows = docs.withColumn("skey", source_key()).withColumn("h", unit_hash()).join(plan, "skey")
+    rows = rows.withColumn("times", times()).where("times > 0")
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, times)"))).select(docs.columns)
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

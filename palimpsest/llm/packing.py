@@ -190,8 +190,9 @@ def pack(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49k.json
     itself. An empty table gives no rows. Other columns are ignored.
     """
     pieces = saved(cut_pieces(docs, tokenizer, limit, end_id), "pieces")
-    return placed(ranked(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"]), minimum_bin_slack(histogram(pieces), limit))
+    rows = placed(ranked(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"]), minimum_bin_slack(histogram(pieces), limit))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(read(spark, sf_dir, "documents"))
