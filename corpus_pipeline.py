@@ -1,15 +1,66 @@
-"""The corpus pipeline; its stages follow as their operators are written."""
+"""From raw documents to packed sequences, one operator after another.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+``run`` stores each stage's result and reads it again, so no stage is computed twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import minhash, mixing, packing, quality, suffix_dedup
+from palimpsest.llm.common import read, saved
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    weights = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, weights).where("predicted = 1").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest doc_id. Repeated rows are one."""
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS)
+    return rows.union(docs.where("doc_id IS NULL").select(COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that a document with a smaller doc_id has go; the rest of the text stays."""
+    left = suffix_dedup.find_repeats(docs, columns=("lang", "source"), keep_text=True)
+    left = left.withColumnRenamed("kept_text", "text")
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as their source's target asks for, none to twice."""
+    return mixing.mixed_documents(docs.select(COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with the sequence and the place that best-fit packing gives them."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Tokenizing, hashing and learned scores are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = saved(docs, "stage")
     return docs
