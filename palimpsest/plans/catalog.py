@@ -304,7 +304,9 @@ def ranked_measure(spark, d):
 
 
 def engine_vocabulary(spark, d) -> DataFrame:
-    return embeddings.loaded(corpus.embedded_vocabulary(docs(spark, d), table(spark, d, "embeddings")), "raw").select("token", "idf", "vec")
+    """At most as many rows as there are word vectors; kept, since a search reads it for both sides of the matrix."""
+    rows = embeddings.loaded(corpus.embedded_vocabulary(docs(spark, d), table(spark, d, "embeddings")), "raw")
+    return rows.select("token", "idf", "vec").persist()
 
 
 def one_needle(spark, d, words: int = 6) -> DataFrame:
