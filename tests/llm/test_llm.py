@@ -1,0 +1,310 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, on small fixtures."""
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from palimpsest.llm import embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
+from palimpsest.llm.tokens import WordIds
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(n=60, seed=3):
+    rng = random.Random(seed)
+    words = ["the", "of", "Und", "la", "éeau", "ströme", "river", "stone", "wind", "a", "zig", "zag", "!!", "12"]
+    base = [" ".join(rng.choice(words) + str(rng.randint(0, 40)) for _ in range(rng.randint(1, 120))) + "." for _ in range(n // 2)]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["b", "a", None]), len(t)) for i, t in enumerate(base)]
+    for i in range(len(base), n):
+        t = rng.choice(base)
+        at = rng.randint(0, len(t))
+        t = rng.choice([t, t[:at] + " x " + t[at:], t + "\n" + rng.choice(base), t[at:]])
+        rows.append((i, t, "en", rng.choice(["b", None, "ü"]), len(t)))
+    odd = [None, "", " \t", "x", "ß" * 60, "ab" * 6000, "one two", "ONE two"]
+    return rows + [(n + k, t, None, None, None) for k, t in enumerate(odd)] + [(n, None, None, None, None), (None, "no id here", "en", "a", 10)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """Columns named as those that the operators make."""
+    extra = ("size", "h", "skey", "rank", "n", "digest", "batch", "piece", "length", "score", "predicted", "comp", "key", "found", "next", "o", "times")
+    return docs.withColumns({c: F.lit(1) for c in extra})
+
+
+def test_word_ids():
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    texts = ["", "a<|endoftext|>b", "it's İ ΣΑΣ x\x1cy", "é b ́x", "don't!? Zoë", "x" * 70, "a\tb\r\nc", "ÀÉ é."]
+    texts += ["".join(rng.choice("ab .'’éÉÑſßİ\n\t12<|endoftext|>中") for _ in range(60)) for _ in range(300)]
+    for text in texts:
+        assert np.frombuffer(words.ids(text), "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_merge_counts(docs, empty):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        counter = token_counts.MergeCounter(f.read())
+    rng = random.Random(2)
+    texts = ["", " ", "a  b", "▁x", "\n", "<s>x</s>", "x\x00y", "🎉 é"] + ["".join(rng.choice("ab theing .'éÑ\n\t12<s>中▁🎉  ") for _ in range(50)) for _ in range(300)]
+    assert [counter.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
+    rows = token_counts.count_tokens(docs).collect()
+    assert len(rows) == docs.count()
+    assert {(r["n_bytes"], r["n_tokens"]) for r in rows if r["doc_id"] == 60} == {(0, 0)}
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+def histogram_check(runs, counts, limit):
+    seen, bins = {k: np.zeros(n, bool) for k, n in counts.items()}, {}
+    for length, first, each, many, at, offset in runs:
+        for b in range(many):
+            for j in range(each):
+                assert not seen[length][first + b * each + j]
+                seen[length][first + b * each + j] = True
+                bins.setdefault(at + b, []).append((offset + j * length, length))
+    assert all(x.all() for x in seen.values())
+    for parts in bins.values():
+        place = 0
+        for offset, length in sorted(parts):
+            assert offset == place
+            place += length
+        assert place <= limit
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packing_plans(seed):
+    rng = random.Random(seed)
+    limit = rng.choice([10, 37, 100])
+    counts = {rng.randint(1, limit): rng.randint(1, 30) for _ in range(rng.randint(1, 30))}
+    assert histogram_check(packing.minimum_bin_slack(counts, limit), counts, limit) >= -(-sum(k * n for k, n in counts.items()) // limit)
+    left = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [i for i, room in enumerate(left) if room >= length]
+            if fits:
+                left[min(fits, key=left.__getitem__)] -= length
+            else:
+                left.append(limit - length)
+    assert histogram_check(packing.best_fit_decreasing(counts, limit), counts, limit) == len(left)
+
+
+def expected_ids(docs):
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    return [(r["doc_id"], np.frombuffer(words.ids(r["text"] or ""), "<u2").tolist() + [1]) for r in docs.collect()]
+
+
+def test_packed_pieces(clashing, docs, empty):
+    rows = packing.pack(clashing, limit=64).collect()
+    want = sorted((d if d is not None else -1, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())) for d, ids in expected_ids(docs) for k in range(0, len(ids), 64))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]]
+        assert ends[-1] <= 64
+    assert packing.pack(empty).count() == 0
+
+
+def test_packed_ids_round_trip(docs, empty):
+    rows = token_output.packed_ids(docs.where("doc_id IS NOT NULL AND doc_id <> 60"), limit=64).collect()
+    got = {}
+    for r in rows:
+        ids = np.frombuffer(r["input_ids"], "<u2")
+        positions = np.frombuffer(r["position_ids"], "<u2")
+        assert len(ids) == len(positions) == 64
+        for k, doc in enumerate(r["doc_ids"]):
+            a, b = r["cu_seqlens"][k : k + 2]
+            assert positions[a:b].tolist() == list(range(b - a))
+            assert r["position_resets"][k] == a
+            got.setdefault(doc, []).append((r["pieces"][k], ids[a:b].tolist()))
+    assert {d: [x for _, part in sorted(v) for x in part] for d, v in got.items()} == dict(expected_ids(docs.where("doc_id IS NOT NULL AND doc_id <> 60")))
+    assert token_output.packed_ids(empty).count() == 0
+
+
+def test_near_duplicates(clashing, docs, empty):
+    rows = docs.where("doc_id IS NOT NULL").collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for r in rows:
+        words = [w for w in (r["text"] or "").translate(lower).replace("\t", " ").replace("\n", " ").split(" ") if w]
+        sets[r["doc_id"]] = {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if i < j and both and 100 * both >= 85 * either:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    found = minhash.near_duplicates(clashing, words=3, percent=85).where("doc_id IS NOT NULL").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), root[i]) for i, s in sets.items()}
+    assert len(found) == len(rows)
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_stars_lose_no_link(spark):
+    """A chain of near copies whose ends are unlike: the smallest id is linked to few of them."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(40):
+        words[rng.randrange(200)] = f"n{k}"
+        rows.append((k, " ".join(words), "en", "a", 1))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_repeats(clashing, docs, empty, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "NAMES_PER_GROUP", 50)
+    found = suffix_dedup.find_repeats(clashing, columns=("lang", "n"), keep_text=True).collect()
+    seen, want = {}, []
+    rows = sorted(((r["doc_id"] if r["doc_id"] is not None else 1 << 62, (r["text"] or "").encode()) for r in docs.collect()))
+    for i, text in rows:
+        for k in range(len(text) - 49):
+            seen[text[k : k + 50]] = min(i, seen.get(text[k : k + 50], i))
+    for i, text in rows:
+        flags = np.zeros(len(text), bool)
+        for k in range(len(text) - 49):
+            if seen[text[k : k + 50]] < i:
+                flags[k : k + 50] = True
+        kept = bytes(b for b, f in zip(text, flags, strict=True) if not f)
+        want.append((i, len(text), int(flags.sum()), int((flags & ~np.r_[False, flags[:-1]][: len(flags)]).sum()), hashlib.sha256(kept).hexdigest()))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == sorted(want)
+    assert suffix_dedup.find_repeats(empty).count() == 0
+
+
+def test_mix_equals_sql(spark, docs, empty):
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source").toPandas()
+    connection = duckdb.connect()
+    connection.register("documents", rows.astype({"source": object}))
+    want = sorted(connection.execute(mixing.ORACLE).fetchall())
+    got = mixing.mix(docs.where("doc_id IS NOT NULL")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == want
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    assert mixing.mix(empty).count() == 0
+    copies = mixing.mixed_documents(docs.where("doc_id IS NOT NULL AND doc_id <> 60")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in copies if r["doc_id"] < 60} == {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"] and r["doc_id"] < 60}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 7, 2048])
+def test_fingerprints(docs, empty, monkeypatch, rows_per_bucket):
+    import re
+
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", rows_per_bucket)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 4)
+    own = docs.where("doc_id IS NOT NULL AND doc_id <> 60")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in own.collect()), reverse=True)
+    pieces = re.compile(r"[^\n]{1,200}[^\n.!?]*[.!?]*")
+
+    def like(a, b):
+        a, b = set(pieces.findall(a)), set(pieces.findall(b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(own).collect()}
+    prints = {}
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((like(text, edited), like(text, after)))
+        prints.setdefault(text, set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in prints.values())
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+def test_peeling_needs_larger_sketches(spark):
+    a, b = list(range(1, 400)), list(range(300, 900))
+    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").selectExpr("transform(a, x -> xxhash64(x)) a", "transform(b, x -> xxhash64(x)) b")
+    row = row.selectExpr("a", "b", f"{fingerprints.sketch('a')} sa", f"{fingerprints.sketch('b')} sb")
+    assert row.selectExpr(f"{fingerprints.peel(fingerprints.subtract('sa', 'sb'))} d").first()["d"] is None
+    assert row.selectExpr(f"{fingerprints.difference('a', 'b', 'sa', 'sb')} d").first()["d"] == len(set(a) ^ set(b))
+
+
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 24))
+    rows = []
+    for i in range(150):
+        v = centres[i % 6] + rng.standard_normal(24) * rng.choice([0.05, 0.2, 1.0])
+        rows.append((i, [float(np.float32(x)) for x in v], int(i % 2)))
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(10)] + [(300, None, 0), (301, [0.0] * 24, 0), (302, [float("nan")] * 24, 0), (303, rows[0][1], None), (304, [None] * 24, 1), (305, [2 * x for x in rows[0][1]], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("links", F.lit(1))
+    found = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    good = [r for r in rows if r[1] is not None and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    v = np.array([r[1] for r in good])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.98) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good])[None]) & ~np.eye(len(good), dtype=bool)
+    root = {r[0]: r[0] for r in rows}
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = root[good[i][0]], root[good[j][0]]
+        root = {k: min(a, b) if x in (a, b) else x for k, x in root.items()}
+    n = {r[0]: 0 for r in rows} | {r[0]: int(x) for r, x in zip(good, link.sum(1), strict=True)}
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (n[i], root[i], root[i] == i) for i in root}
+    assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return "/root/testdata/sf0.01"
+
+
+def test_quality_held_out(spark, real):
+    rows = quality.classify_query(spark, real).join(spark.read.parquet(f"{real}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.93
+    assert np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.97
+
+
+def test_quality_edges(docs, empty, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.score(docs, quality.train(docs, labels)).collect()
+    assert {r["score"] for r in rows} == {0.5}
+    assert quality.score(empty, quality.train(empty, labels)).count() == 0
+
+
+def test_language_held_out(spark, real):
+    rows = language.language_query(spark, real).join(spark.read.parquet(f"{real}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
+
+
+def test_language_edges(docs, empty):
+    rows = language.predict(docs, language.train(docs)).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if not any(map(str.isalpha, r["text"] or "")))
+    assert {r["lang_pred"] for r in rows} <= {"en", "de", "und"}
+    assert language.predict(empty, language.train(empty)).count() == 0
+
+
+def test_pipeline(spark, real):
+    docs = spark.read.parquet(f"{real}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.saved(stage(spark, docs, real), "test")
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] < sizes[4]
+    packed = corpus_pipeline.pack_sequences(spark, docs, real)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
