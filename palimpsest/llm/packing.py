@@ -174,7 +174,9 @@ def placed(pieces: DataFrame, runs: Runs) -> DataFrame:
 
 
 def _spans(values: np.ndarray) -> list[tuple[int, int, int]]:
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.array([], dtype=int)
+    if not len(values):
+        return []
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     return [(values[a], a, b) for a, b in zip(starts, [*starts[1:], len(values)], strict=True)]
 
 
