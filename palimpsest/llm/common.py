@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -50,19 +51,15 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def ranked(df: DataFrame, group: str, order: list[str], rows_per_salt: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], rows_per_salt: int = 2000) -> DataFrame:
     """df with ``rank``, 0-based and gapless within each group, without one task for one group.
 
-    Each group is dealt by a hash of the order columns into as many salts as its size asks for; counts by
-    (group, salt) give each salt the place where it starts, and a window numbers the rows of a salt. Rows of
-    equal order columns rank in any order. df is read twice, so it should be a stored table.
+    Each group is dealt by a hash of the order columns into as many salts as its own size asks for; counts by
+    (group, salt) give each salt the place where it starts, and a window numbers the rows of a salt. Rows of equal
+    order columns rank in any order. df is read several times, so it should be a stored table.
     """
-    from pyspark.sql import Window as W
-
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    salts = max(1, -(-most // rows_per_salt))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).alias("_salts"))
+    dealt = df.join(sizes, group).withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts"))).drop("_salts")
     counts = dealt.groupBy(group, "_salt").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(group).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(group, "_salt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
