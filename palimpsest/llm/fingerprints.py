@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-PIECE = 200
+PIECE = 300
 SIDE = 16
 ROUNDS = 12
 BLOCKS = (8, 64, 512, 4096)
@@ -39,16 +39,18 @@ def check(k: str) -> str:
     return f"(xxhash64({k}, 1) & 4294967295L)"
 
 
-def cell_of(k: str, i: str) -> str:
-    """Whether digest k belongs in cell i."""
-    return f"((shiftright({k}, 21 * ({i} div {SIDE})) & {SIDE - 1}) = {i} % {SIDE})"
+def tables(each: str) -> str:
+    """The cells of the three tables, one after another; a digest's place in each is told by other bits of it."""
+    bits = ["({k} & %d)", "(shiftright({k}, 21) & %d)", "(shiftright({k}, 42) & %d)"]
+    return f"concat({', '.join(each.replace('[bits]', x % (SIDE - 1)).replace('[from]', str(1 + n * SIDE)) for n, x in enumerate(bits))})"
 
 
 def sketch(found: str) -> str:
-    return (
-        f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({found}, d -> {cell_of('d', 'i')}), {EMPTY}, "
+    cell = (
+        f"transform(sequence(0, {SIDE - 1}), i -> aggregate(filter({found}, d -> [bits] = i), {EMPTY}, "
         f"(a, d) -> named_struct('c', a.c + 1, 'k', a.k ^ d, 'h', a.h ^ {check('d')})))"
     )
+    return tables(cell).replace("{k}", "d")
 
 
 def subtract(left: str, right: str) -> str:
@@ -58,10 +60,10 @@ def subtract(left: str, right: str) -> str:
 def peel(cells: str) -> str:
     """How many digests come out, or null if cells remain."""
     pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = {check('x.k')}), x -> named_struct('k', x.k, 'c', x.c)))"
-    taken = (
-        f"transform(s.cells, (x, i) -> aggregate(filter(pure, q -> {cell_of('q.k', 'i')}), x, "
+    taken = tables(
+        f"transform(slice(s.cells, [from], {SIDE}), (x, i) -> aggregate(filter(pure, q -> [bits] = i), x, "
         f"(a, q) -> named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ {check('q.k')})))"
-    )
+    ).replace("{k}", "q.k")
     turn = f"transform(array({pure}), pure -> if(size(pure) = 0, s, named_struct('cells', {taken}, 'n', s.n + size(pure))))[0]"
     left = "exists(s.cells, x -> x.c <> 0 OR x.k <> 0L OR x.h <> 0L)"
     return (
@@ -93,13 +95,16 @@ def written(cells: str) -> str:
     return f"array_join(transform({cells}, x -> concat(lpad(hex(x.c), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 8, '0'))), '')"
 
 
-def _bucket(docs: DataFrame, key: str) -> tuple[Column, Column]:
-    """Two numbers that put keys in order into buckets of about ROWS_PER_BUCKET: the quantile, and an even part of it."""
+def _bucket(docs: DataFrame, key: str) -> tuple[Column, int]:
+    """A number that puts keys in order into buckets of about ROWS_PER_BUCKET, and how many buckets a quantile has.
+
+    Buckets are even parts of quantiles, whose bounds are few whatever the table holds.
+    """
     n = docs.count()
     buckets = max(1, n // ROWS_PER_BUCKET)
     first = min(QUANTILES, buckets)
     if first == 1:
-        return F.lit(0), F.lit(0).cast("long")
+        return F.shiftright(key, 63) * 0, 1
     shares = [k / first for k in range(first + 1)]
     bounds = docs.agg(F.percentile_approx(key, shares, 10_000)).first()[0]
     inner = sorted(set(bounds[1:-1]))
@@ -114,50 +119,41 @@ def _bucket(docs: DataFrame, key: str) -> tuple[Column, Column]:
     quantile = tree(0, len(inner))
     parts = -(-buckets // first)
     if parts == 1:
-        return quantile, F.lit(0).cast("long")
+        return quantile.cast("long"), 1
     ends = F.array(*[F.lit(x) for x in [bounds[0], *inner, bounds[-1] + 1]])
     low, high = F.get(ends, quantile), F.get(ends, quantile + 1)
-    return quantile, F.width_bucket(key, low.cast("double"), high.cast("double"), F.lit(parts))
+    part = F.width_bucket(key, low.cast("double"), high.cast("double"), F.lit(parts))
+    return quantile * F.lit(parts + 2).cast("long") + part, parts + 2
 
 
-def with_next(docs: DataFrame, row: list[str]) -> DataFrame:
-    """doc_id, text, *row and ``next``, a struct of the same columns of the next row in descending doc_id.
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, found, cells and ``next``, a struct of the last three of the next row in descending doc_id.
 
     The first row follows the last. Null ids come last; rows of one doc_id are ordered by their texts. The texts move
-    once, into buckets of neighbouring ids; only the first row of each bucket is looked up for the bucket before.
+    once, into buckets of neighbouring ids; the first row of each bucket is taken from there for the bucket before.
     """
-    keyed = docs.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    quantile, part = _bucket(keyed.select("o"), "o")
-    keyed = keyed.withColumn("quantile", quantile).withColumn("part", part)
-    bucket = ["quantile", "part"]
-    order = [F.desc("o"), F.asc("text")]
-    tops = keyed.groupBy(*bucket).agg(F.max("o").alias("o"))
-    heads = keyed.join(tops, [*bucket, "o"])
-    heads = heads.withColumn("_n", F.row_number().over(W.partitionBy(*bucket).orderBy(*order))).where("_n = 1")
-    heads = heads.select(F.col("quantile").alias("q"), F.col("part").alias("p"), "text")
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"))
+    bucket, parts = _bucket(keyed.select("o"), "o")
+    dealt = keyed.withColumn("bucket", bucket).repartition("bucket")
+    order = W.partitionBy("bucket").orderBy(F.desc("o"), F.asc("text"))
+    heads = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    heads = heads.select(F.col("bucket").alias("following"), F.struct("doc_id", "text").alias("head"))
     # which bucket follows which: inside a quantile, then from quantile to quantile (QUANTILES rows at most), then round
-    inside = tops.withColumn("p", F.lead("part").over(W.partitionBy("quantile").orderBy(F.desc("part"))))
-    across = tops.groupBy("quantile").agg(F.max("part").alias("top"))
+    there = keyed.select(bucket.alias("bucket")).distinct().withColumn("quantile", F.expr(f"bucket div {parts}"))
+    inside = there.withColumn("following", F.lead("bucket").over(W.partitionBy("quantile").orderBy(F.desc("bucket"))))
     line = W.orderBy(F.desc("quantile"))
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    across = across.select(
-        "quantile",
-        F.coalesce(F.lead("quantile").over(line), F.first("quantile").over(whole)).alias("nq"),
-        F.coalesce(F.lead("top").over(line), F.first("top").over(whole)).alias("np"),
-    )
-    follows = inside.join(across, "quantile").select(
-        *bucket, F.when(F.col("p").isNull(), F.col("nq")).otherwise(F.col("quantile")).alias("q"), F.coalesce("p", "np").alias("p")
-    )
-    edge = follows.join(heads, ["q", "p"]).select(*bucket, "text")
-    edge = edge.select(*bucket, F.struct(*row_columns(row)).alias("edge"))
-    rows = keyed.repartition(*bucket).select("doc_id", "text", *bucket, "o", *row_columns(row)[1:])
-    own = W.partitionBy(*bucket).orderBy(*order)
-    rows = rows.withColumn("next", F.lead(F.struct("text", *[r.split(" AS ")[-1] for r in row])).over(own))
-    return rows.join(edge, bucket).withColumn("next", F.coalesce("next", "edge")).drop("edge", "o", *bucket)
+    across = there.groupBy("quantile").agg(F.max("bucket").alias("top"))
+    across = across.select("quantile", F.coalesce(F.lead("top").over(line), F.first("top").over(whole)).alias("after"))
+    follows = inside.join(across, "quantile").select("bucket", F.coalesce("following", "after").alias("following"))
+    edge = follows.join(heads, "following").select("bucket", F.col("head.text").alias("text"))
+    edge = sketched(edge).select("bucket", F.struct("text", "found", "cells").alias("edge"))
+    rows = sketched(dealt).withColumn("next", F.lead(F.struct("text", "found", "cells")).over(order))
+    return rows.join(edge, "bucket").withColumn("next", F.coalesce("next", "edge")).drop("edge", "o", "bucket")
 
 
-def row_columns(row: list[str]) -> list[Column]:
-    return [F.col("text"), *[F.expr(x) for x in row]]
+def sketched(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("found", F.expr(digests("text"))).withColumn("cells", F.expr(sketch("found")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,17 +165,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(base, [f"{digests('text')} AS found"])
+    rows = with_next(base)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     half = "CAST(n_chars div 2 AS INT)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, CAST(n_chars - {half} AS INT)), left(next.text, {half}))"))
     rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found",
-        F.expr(digests("edited")).alias("edited_found"), F.col("next.found").alias("next_found"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", "cells",
+        F.expr(digests("edited")).alias("edited_found"), F.col("next.found").alias("next_found"), F.col("next.cells").alias("next_cells"),
     )
-    rows = rows.select(
-        "*", F.expr(sketch("found")).alias("cells"), F.expr(sketch("edited_found")).alias("edited_cells"), F.expr(sketch("next_found")).alias("next_cells")
-    )
+    rows = rows.select("*", F.expr(sketch("edited_found")).alias("edited_cells"))
     rows = rows.select(
         "doc_id", "n_chars", "edited_sha256", "found", "edited_found", "next_found",
         F.expr(written("cells")).alias("fingerprint"), F.expr(written("edited_cells")).alias("edited_fingerprint"),

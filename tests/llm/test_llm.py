@@ -215,7 +215,7 @@ def test_fingerprints(docs, empty, monkeypatch, rows_per_bucket):
     monkeypatch.setattr(fingerprints, "QUANTILES", 4)
     own = docs.where("doc_id IS NOT NULL AND doc_id <> 60")
     rows = sorted(((r["doc_id"], r["text"] or "") for r in own.collect()), reverse=True)
-    pieces = re.compile(r"[^\n]{1,200}[^\n.!?]*[.!?]*")
+    pieces = re.compile(r"[^\n]{1,300}[^\n.!?]*[.!?]*")
 
     def like(a, b):
         a, b = set(pieces.findall(a)), set(pieces.findall(b))
