@@ -169,11 +169,16 @@ class Batch:
 
     def removed(self, answers: pd.DataFrame) -> np.ndarray:
         """A flag for each byte of the batch."""
-        windows, _ = self.third(answers)
+        windows, doc = self.third(answers)
         a = self.anchors
-        lowest = self.gathered(answers, windows, 3, "<i8", NULL_ID)
+        repeated = np.zeros(len(windows), bool)
+        told = answers[answers["round"] == 3]
+        flags = dict(zip(told["bucket"], told["blob"], strict=True))
+        for bucket, own in by_document(self.deal(windows), doc):
+            repeated[own] = np.frombuffer(flags[bucket], "u1") > 0
+        # within the batch, the names' least document may not be the occurrence's own
         owner, start = a.windows(self.single)
-        hit = start[lowest[self.window] < a.doc[self.single][owner]]
+        hit = start[repeated[self.window] | (doc[self.window] < a.doc[self.single][owner])]
         size = int(a.start[-1])
         edges = np.bincount(a.first[self.whole], minlength=size + 1).astype(np.int64) + np.bincount(hit, minlength=size + 1)
         edges -= np.bincount(a.last[self.whole] + a.length, minlength=size + 1) + np.bincount(hit + a.length, minlength=size + 1)
@@ -192,6 +197,25 @@ def _joined(rows: pd.DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([len(p) for p in parts])[:-1]
 
 
+def by_document(dealt: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each bucket its entries in order of their documents."""
+    order = np.lexsort([doc, dealt])
+    cuts = np.flatnonzero(np.diff(dealt[order])) + 1
+    return [(int(dealt[own[0]]), own) for own in np.split(order, cuts)] if len(order) else []
+
+
+def runs_blob(names: np.ndarray, doc: np.ndarray) -> bytes:
+    """Names of documents in order: how many documents, their ids, how many names each has, the names."""
+    ids, counts = np.unique(doc, return_counts=True)
+    return np.concatenate([np.array([len(ids)], np.int64), ids, counts, names.view(np.int64)]).tobytes()
+
+
+def read_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    values = np.frombuffer(blob, np.int64)
+    n = int(values[0])
+    return values[1 + 2 * n :].view(np.uint64), np.repeat(values[1 : 1 + n], values[1 + n : 1 + 2 * n])
+
+
 ANSWER = "batch long, round int, bucket long, id long, blob binary"
 
 
@@ -274,13 +298,15 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
             return _by_bucket(0, np.zeros(0, np.int64), np.zeros(0))
         batch = Batch(rows, answers, buckets, length)
         windows, doc = batch.third(answers)
-        return _by_bucket(int(rows["batch"].iloc[0]), batch.deal(windows), np.stack([windows, doc.view(np.uint64)], axis=1))
+        number = int(rows["batch"].iloc[0])
+        out = [(bucket, number, runs_blob(windows[own], doc[own])) for bucket, own in by_document(batch.deal(windows), doc)]
+        return pd.DataFrame(out, columns=["bucket", "batch", "blob"])
 
     def meet_third(rows: pd.DataFrame) -> pd.DataFrame:
-        record, cuts = _joined(rows, "<u8")
-        windows, doc = record.reshape(-1, 2).T
-        _, lowest, number = least([windows], doc.view(np.int64))
-        return _answer(rows, 3, lowest[number].astype("<i8"), cuts // 2)
+        parts = [read_runs(x) for x in rows["blob"]]
+        windows, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, lowest, number = least([windows], doc)
+        return _answer(rows, 3, (lowest[number] < doc).astype("u1"), np.cumsum([len(x) for x, _ in parts])[:-1])
 
     answers = saved(answers.union(ask(third).groupBy("bucket").applyInPandas(meet_third, ANSWER)), "answers")
     out_columns = ["doc_id", *columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
