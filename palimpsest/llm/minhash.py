@@ -7,9 +7,13 @@
 3. Representatives fall into banded buckets. A bucket of n gives n - 1 edges, all from its smallest member, so pairs
    grow with the rows and not with the square of a bucket. Edges whose signatures or sizes rule the link out are
    dropped, the rest are confirmed on the full sets.
-4. Stars miss links between two members when only one of them is linked to the centre. So buckets that still hold
-   more than one component are compared tile by tile, on pairs from different components alone, and what the
-   signatures leave is confirmed on the full sets too. Pairs inside a component are never made.
+4. Stars miss links between two members when only one of them is linked to the centre. In buckets that still hold
+   more than one component, every member first meets the few of another component, in its own tile of the bucket,
+   whose sketches are most like its own; this is linear and joins nearly all that belongs together. Buckets that even
+   then hold several components are compared tile by tile, on pairs from different components alone, and what the
+   sketches leave is confirmed on the full sets too. Pairs inside a component are never made.
+
+Sketches that rule links out have ``SKETCH_BINS`` bins of 8 bits; six standard deviations are allowed for.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from .common import components, read, saved
 
 CACHE_WORDS = 500_000
 CHUNK = 200
+SKETCH_BINS = 480
+NEAREST = 3
 TILE = 1000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -98,11 +104,11 @@ def bands_for(percent: int, rows: int, miss: float) -> int:
 
 
 def sketch(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n, digest of the set, 16 bits of each bin, and a key for each band; nulls where the set is empty."""
+    """doc_id, n, digest of the set, a sketch, and a key for each band; nulls where the set is empty."""
     bins = rows * bands
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, attempts = Shingler(words), densification(bins)
+        shingles, attempts, more = Shingler(words), densification(bins), densification(SKETCH_BINS)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -112,7 +118,7 @@ def sketch(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                     continue
                 sig = signature(hashes, bins, attempts).reshape(bands, rows)
                 keys = [xxhash.xxh3_64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(sig)]
-                short = (sig >> np.uint64(7)).astype(np.uint16)
+                short = (signature(hashes, SKETCH_BINS, more) >> np.uint64(7)).astype(np.uint8)
                 out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), short.tobytes(), keys))
             made = pd.DataFrame(out, columns=["doc_id", "n", "digest", "sig", "keys"])
             made["doc_id"] = made["doc_id"].astype("Int64")
@@ -132,8 +138,8 @@ def possible(edges: DataFrame, reps: DataFrame, percent: int, floor: float) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.frombuffer(b"".join(batch["sa"]), np.uint16).reshape(len(batch), -1)
-                y = np.frombuffer(b"".join(batch["sb"]), np.uint16).reshape(len(batch), -1)
+                x = np.frombuffer(b"".join(batch["sa"]), np.uint8).reshape(len(batch), -1)
+                y = np.frombuffer(b"".join(batch["sb"]), np.uint8).reshape(len(batch), -1)
                 yield batch.loc[(x == y).mean(axis=1) >= floor, ["a", "b"]]
 
     return rows.mapInPandas(run, "a long, b long")
@@ -175,23 +181,32 @@ def confirmed(edges: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.applyInPandas(compare, "a long, b long").distinct()
 
 
-def across(mixed: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sizes and signatures leave. mixed: key, n_key, doc_id, comp, n, sig."""
+def across(mixed: DataFrame, percent: int, floor: float, nearest: int | None = None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that sizes and sketches leave. mixed: key, n_key, doc_id, comp, n, sig.
+
+    With ``nearest``, only so many of each member, the most alike, and only from its own tile.
+    """
     tiles = mixed.withColumn("t", F.ceil(F.col("n_key") / TILE)).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("t")))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))
+    tiles = tiles.withColumn("other", F.col("own") if nearest else every)
     tiles = tiles.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         ids, comp, n, own = (pdf[x].to_numpy() for x in ("doc_id", "comp", "n", "own"))
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         right = np.flatnonzero(own == j)
         out = []
         for k in np.flatnonzero(own == i):
             to = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-            to = to[(ids[to] > ids[k]) | (i != j)]
+            if not nearest:
+                to = to[(ids[to] > ids[k]) | (i != j)]
             if len(to):
-                to = to[(sig[to] == sig[k]).mean(axis=1) >= floor]
+                like = (sig[to] == sig[k]).mean(axis=1)
+                if nearest and len(to) > nearest:
+                    top = np.argpartition(like, len(like) - nearest)[-nearest:]
+                    to, like = to[top], like[top]
+                to = to[like >= floor]
                 out.append(np.stack([np.minimum(ids[to], ids[k]), np.maximum(ids[to], ids[k])], axis=1))
         both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(both, columns=["a", "b"])
@@ -210,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     """
     bands = bands_for(percent, rows, miss)
     share = percent / 100
-    floor = max(0.0, share - 5 * math.sqrt(share * (1 - share) / (rows * bands)))
+    floor = max(0.0, share - 6 * math.sqrt(share * (1 - share) / SKETCH_BINS))
     table = saved(sketch(docs, words, rows, bands), "sketches")
     sets = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -226,14 +241,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     links = saved(confirmed(tested, docs, words, percent), "links")
     found = saved(components(links), "components")
 
-    comp = F.coalesce("component_id", "doc_id").alias("comp")
-    placed = inside.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n_key", "doc_id", comp)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    mixed = placed.join(mixed, "key").join(signatures, "doc_id")
-    more = across(mixed, percent, floor).join(tested, ["a", "b"], "left_anti")
-    more = saved(confirmed(more, docs, words, percent), "links")
-    if not more.isEmpty():
-        found = saved(components(links.union(more)), "components")
+    for nearest in (NEAREST, None):
+        comp = F.coalesce("component_id", "doc_id").alias("comp")
+        placed = inside.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n_key", "doc_id", comp)
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        mixed = placed.join(mixed, "key").join(signatures, "doc_id")
+        more = saved(across(mixed, percent, floor, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(more)
+        more = saved(confirmed(more, docs, words, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = saved(components(links), "components")
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component_id", "rep").alias("component_id"))
