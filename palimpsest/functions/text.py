@@ -67,6 +67,7 @@ def acronym(title: Column, length: int = 4, ignored: tuple[str, ...] = IGNORED_I
         F.split(F.upper(title), " "),
         lambda p: (p != "") & ~p.isin(*ignored) & F.substring(p, 1, 1).rlike(r"^\p{L}$"),
     )
+    parts = F.slice(parts, 1, length)  # later ones have no letter in it
     sizes = F.transform(parts, lambda p: F.length(p))
 
     def taken(p: Column, i: Column) -> Column:
