@@ -4,8 +4,8 @@ A text is cut into paragraphs (lines, and in long lines pieces of at least ``PIE
 sentence), each a 64-bit digest. A sketch has three tables of ``SIDE`` cells; a digest goes into one cell of each,
 where counts add up and keys and checks are xored. Subtracting two sketches cell by cell leaves the differing digests,
 and peeling takes them out: a cell with one digest left gives it away, it is taken from its other cells, and so on.
-If cells remain, the sketch was too small, and both sides are sketched again with eight times the cells: digests are
-dealt over 8, 64, ... blocks by other bits, and each block is a sketch of its own. What even the largest leaves is
+If cells remain, the sketch was too small, and both sides are sketched again with more cells: digests are
+dealt over 4, 32, ... blocks by other bits, and each block is a sketch of its own. What even the largest leaves is
 compared by set difference.
 
 The fingerprint is the smallest sketch, written in hexadecimal. The likeness of two texts is the share of paragraphs
@@ -23,7 +23,7 @@ from .common import read
 PIECE = 300
 SIDE = 16
 ROUNDS = 12
-BLOCKS = (8, 64, 512, 4096)
+BLOCKS = (4, 32, 256, 2048)
 ROWS_PER_BUCKET = 2048
 QUANTILES = 256
 CELLS = 3 * SIDE
@@ -64,20 +64,20 @@ def peel(cells: str) -> str:
         f"transform(slice(s.cells, [from], {SIDE}), (x, i) -> aggregate(filter(pure, q -> [bits] = i), x, "
         f"(a, q) -> named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ {check('q.k')})))"
     ).replace("{k}", "q.k")
-    turn = f"transform(array({pure}), pure -> if(size(pure) = 0, s, named_struct('cells', {taken}, 'n', s.n + size(pure))))[0]"
-    left = "exists(s.cells, x -> x.c <> 0 OR x.k <> 0L OR x.h <> 0L)"
-    return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', 0), (s, r) -> if({left}, {turn}, s), "
-        f"s -> if({left}, CAST(NULL AS INT), s.n))"
-    )
+    left = "exists({}, x -> x.c <> 0 OR x.k <> 0L OR x.h <> 0L)"
+    after = f"transform(array({taken}), cells -> named_struct('cells', cells, 'n', s.n + size(pure), 'open', {left.format('cells')}))[0]"
+    turn = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('cells', s.cells, 'n', -1, 'open', false), {after}))[0]"
+    start = f"transform(array({cells}), cells -> named_struct('cells', cells, 'n', 0, 'open', {left.format('cells')}))[0]"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.open, {turn}, s), s -> if(s.open OR s.n < 0, CAST(NULL AS INT), s.n))"
 
 
 def difference(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
     """How many digests differ between arrays a and b: the smallest sketch that peels, larger ones on failure."""
     tries = [f"if(abs(size({a}) - size({b})) >= {CELLS}, CAST(NULL AS INT), {peel(subtract(sketch_a, sketch_b))})"]
     for blocks in BLOCKS:
-        own = [sketch(f"filter({x}, d -> (shiftright(d, 8) & {blocks - 1}) = block)") for x in (a, b)]
-        parts = f"transform(sequence(0, {blocks - 1}), block -> {peel(subtract(*own))})"
+        in_block = [f"filter({x}, d -> (shiftright(d, 8) & {blocks - 1}) = block)" for x in (a, b)]
+        parted = f"if(own[0] = own[1], 0, {peel(subtract(sketch('own[0]'), sketch('own[1]')))})"
+        parts = f"transform(sequence(0, {blocks - 1}), block -> transform(array(array({', '.join(in_block)})), own -> {parted})[0])"
         total = f"aggregate(parts, 0, (n, x) -> n + x)"
         tries.append(
             f"if(abs(size({a}) - size({b})) >= {CELLS * blocks}, CAST(NULL AS INT), transform(array({parts}), parts -> {total})[0])"
