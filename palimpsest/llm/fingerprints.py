@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame expressions alone.
 
-A text is cut into paragraphs (lines, and in long lines pieces of at least ``PIECE`` characters that end with a
-sentence), each a 64-bit digest. A sketch has three tables of ``SIDE`` cells; a digest goes into one cell of each,
-where counts add up and keys and checks are xored. Subtracting two sketches cell by cell leaves the differing digests,
-and peeling takes them out: a cell with one digest left gives it away, it is taken from its other cells, and so on.
-If cells remain, the sketch was too small, and both sides are sketched again with more cells: digests are
-dealt over 4, 32, ... blocks by other bits, and each block is a sketch of its own. What even the largest leaves is
-compared by set difference.
+A text is cut into paragraphs (lines, and in long lines pieces of at least ``piece`` characters that end with a
+sentence), each a 64-bit digest. The query cuts after ``SHORT_PIECE``: longer pieces lose halves that short texts
+share. A sketch has three tables of ``SIDE`` cells; a digest goes into one cell of each, where counts add up and keys
+and checks are xored. Subtracting two sketches cell by cell leaves the differing digests, and peeling takes them out:
+a cell with one digest left gives it away, it is taken from its other cells, and so on. If cells remain, the sketch was
+too small, and both sides are sketched again with more cells: digests are dealt over 4, 32, ... blocks by other bits,
+and each block is a sketch of its own. What even the largest leaves is compared by set difference.
 
 The fingerprint is the smallest sketch, written in hexadecimal. The likeness of two texts is the share of paragraphs
 that both have: (a + b - d) / (a + b + d) with d digests recovered, 1 if neither has any.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 PIECE = 300
+SHORT_PIECE = 100
 SIDE = 16
 ROUNDS = 12
 BLOCKS = (4, 32, 256, 2048)
@@ -30,8 +31,8 @@ CELLS = 3 * SIDE
 EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
 
 
-def digests(text: str) -> str:
-    pattern = f"[^\\\\n]{{1,{PIECE}}}[^\\\\n.!?]*[.!?]*"
+def digests(text: str, piece: int = PIECE) -> str:
+    pattern = f"[^\\\\n]{{1,{piece}}}[^\\\\n.!?]*[.!?]*"
     return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p)))"
 
 
@@ -126,7 +127,7 @@ def _bucket(docs: DataFrame, key: str) -> tuple[Column, int]:
     return quantile * F.lit(parts + 2).cast("long") + part, parts + 2
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """doc_id, text, found, cells and ``next``, a struct of the last three of the next row in descending doc_id.
 
     The first row follows the last. Null ids come last; rows of one doc_id are ordered by their texts. The texts move
@@ -147,16 +148,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     across = across.select("quantile", F.coalesce(F.lead("top").over(line), F.first("top").over(whole)).alias("after"))
     follows = inside.join(across, "quantile").select("bucket", F.coalesce("following", "after").alias("following"))
     edge = follows.join(heads, "following").select("bucket", F.col("head.text").alias("text"))
-    edge = sketched(edge).select("bucket", F.struct("text", "found", "cells").alias("edge"))
-    rows = sketched(dealt).withColumn("next", F.lead(F.struct("text", "found", "cells")).over(order))
+    edge = sketched(edge, piece).select("bucket", F.struct("text", "found", "cells").alias("edge"))
+    rows = sketched(dealt, piece).withColumn("next", F.lead(F.struct("text", "found", "cells")).over(order))
     return rows.join(edge, "bucket").withColumn("next", F.coalesce("next", "edge")).drop("edge", "o", "bucket")
 
 
-def sketched(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("found", F.expr(digests("text"))).withColumn("cells", F.expr(sketch("found")))
+def sketched(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    return rows.withColumn("found", F.expr(digests("text", piece))).withColumn("cells", F.expr(sketch("found")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first as many, or all,
@@ -165,13 +166,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(base)
+    rows = with_next(base, piece)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     half = "CAST(n_chars div 2 AS INT)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, CAST(n_chars - {half} AS INT)), left(next.text, {half}))"))
     rows = rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", "cells",
-        F.expr(digests("edited")).alias("edited_found"), F.col("next.found").alias("next_found"), F.col("next.cells").alias("next_cells"),
+        F.expr(digests("edited", piece)).alias("edited_found"), F.col("next.found").alias("next_found"), F.col("next.cells").alias("next_cells"),
     )
     rows = rows.select("*", F.expr(sketch("edited_found")).alias("edited_cells"))
     rows = rows.select(
@@ -188,4 +189,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read(spark, sf_dir, "documents"))
+    return fingerprints(read(spark, sf_dir, "documents"), SHORT_PIECE)

@@ -235,6 +235,14 @@ def test_fingerprints(docs, empty, monkeypatch, rows_per_bucket):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_short_texts_keep_their_shared_half(spark, tmp_path):
+    """One line of 400 characters in four sentences: the edited text keeps the first two."""
+    line = lambda k: " ".join(f"{c * 97}." for c in "abcdefgh"[k : k + 4])
+    spark.createDataFrame([(2, line(0), "en", "a", 1), (1, line(4), "en", "a", 1)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints_query(spark, str(tmp_path)).collect()}
+    assert all(r["near_edited"] > 0 and r["near_next"] == 0 for r in found.values())
+
+
 def test_peeling_needs_larger_sketches(spark):
     a, b = list(range(1, 400)), list(range(300, 900))
     row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").selectExpr("transform(a, x -> xxhash64(x)) a", "transform(b, x -> xxhash64(x)) b")
