@@ -172,7 +172,8 @@ def needles(spark, d) -> DataFrame:
 t AS (SELECT doc_id, sentence_id, {NORMAL.format('sentence')} AS t FROM sn WHERE n_tokens >= 6)
 SELECT query_id AS quote_id, doc_id, sentence_id FROM q JOIN t ON contains(' ' || t || ' ', ' ' || q || ' ')""")
 def quote_resolver(spark, d):
-    quotes = needles(spark, d).where(F.size(T.token_array(F.col("query"))) >= 6).select(F.col("query_id").alias("quote_id"), F.col("query").alias("quote"))
+    """Quotes of any length; the counterpart holds those of six words or more, in sentences as long."""
+    quotes = needles(spark, d).select(F.col("query_id").alias("quote_id"), F.col("query").alias("quote"))
     return corpus.resolve_quotes(quotes, corpus.sentences(docs(spark, d)))
 
 
@@ -495,7 +496,8 @@ def merge_dimensions(spark, d):
 t AS (SELECT doc_id, {NORMAL.format('sentence')} AS t FROM sn WHERE n_tokens >= 6)
 SELECT query_id FROM q WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(' ' || t.t || ' ', ' ' || q.q || ' '))""")
 def unresolved_topics(spark, d):
-    wanted = needles(spark, d).where(F.size(T.token_array(F.col("query"))) >= 6).select("query_id")
+    """Quotes of any length; the counterpart holds those of six words or more."""
+    wanted = needles(spark, d).select("query_id")
     return wanted.join(quote_resolver(spark, d).select(F.col("quote_id").alias("query_id")), "query_id", "left_anti")
 
 
