@@ -91,9 +91,8 @@ class WordIds:
         self.learn(new)
         if len(new) > CACHE_WORDS // 2:  # one huge text; its words need not all fit
             return b"".join([long[x] if x in long else self.cache.get(x) or self.encoded(x) if x else b"" for x in chunks])
-        if long:
-            return b"".join([long[x] if x in long else self.cache[x] for x in chunks])
-        return b"".join([self.cache[x] if x in self.cache else self.encoded(x) for x in chunks])
+        # learning may have emptied the cache of chunks that this text has as well
+        return b"".join([long[x] if x in long else self.cache[x] if x in self.cache else self.encoded(x) for x in chunks])
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output
+from palimpsest.llm import embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output, tokens
 from palimpsest.llm.tokens import WordIds
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,6 +57,14 @@ def test_word_ids():
         assert np.frombuffer(words.ids(text), "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_when_the_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 8)
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    long = "https://a.org/" + "x" * 60
+    for text in ["one two three four", f"one five six {long} two", f"seven {long}", f"one two eight nine {long}", f"one {long}"]:
+        assert np.frombuffer(words.ids(text), "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_counts(docs, empty):
     import sentencepiece
 
