@@ -8,60 +8,77 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.operators.align import gap_costs
+from palimpsest.operators.corpus import sentence_table
 
 CONTEXT = 10
 REGION = "s string, mismatch_penalty double, t string, similarity double, weight double, pos_s string, pos_t string, metric string"
 SCHEMA = f"query_id long, place int, doc_id long, sentence_id int, score double, regions array<struct<{', '.join(x.replace(' ', ':', 1) for x in REGION.split(', ')).replace(', ', ',')}>>, omitted array<string>"
 
 
-def regions(found: DataFrame, sentences: DataFrame, needle: DataFrame, cutoff: int = 5, metric: str = "cosine") -> DataFrame:
+def regions(found: DataFrame, sentences: DataFrame, needle: DataFrame, cutoff: int = 5, metric: str = "cosine", docs: DataFrame | None = None) -> DataFrame:
     """Runs of text around and between matched tokens, and the needle tokens that nothing matched.
 
-    From ten tokens before the match to ten after it, over sentence borders. Text between matched tokens carries the
-    gap cost of what it skips.
+    From ten tokens before the match to ten after it, over sentence borders, cut from the texts of docs. A run ends
+    where the next token starts, or with the text. Text between matched tokens carries the gap cost of what it skips.
+    Without docs, sentences joined by line feeds stand for the text.
     """
-    rows = found.join(sentences.select("doc_id", "sentence_id", "tokens", "max_len_s"), ["doc_id", "sentence_id"])
-    near = sentences.select("doc_id", F.col("sentence_id").alias("_s"), F.col("tokens").alias("_t"))
-    span = F.abs(F.col("_s") - F.col("sentence_id")) <= CONTEXT
-    around = found.join(near, "doc_id").where(span & (F.col("_s") != F.col("sentence_id")))
-    side = lambda test: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("_s", "_t")))), lambda x: x["_t"]))
-    around = around.groupBy("query_id", "place").agg(
-        side(F.col("_s") < F.col("sentence_id")).alias("before"), side(F.col("_s") > F.col("sentence_id")).alias("after")
-    )
+    wanted = found.select("doc_id").distinct()
+    own = sentences.join(F.broadcast(wanted), "doc_id", "left_semi")
+    if docs is None:
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "sentence"))), lambda x: x["sentence"])
+        texts = own.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+    else:
+        texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi")
+    # parts are tokens and what stands between them; places has the part of each token of the lower-cased text
+    parts = texts.select("doc_id", F.regexp_extract_all("text", F.lit(T.PIECE), F.lit(0)).alias("parts"))
+    places = F.flatten(F.transform("parts", lambda p, i: F.array_repeat(i, F.size(T.token_array(p)))))
+    parts = parts.withColumn("places", places)
+    at = sentence_table(own).select("doc_id", "sentence_id", "token_at")
     words = needle.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("t_pos", "t_token", "weight", "pos"))).alias("needle"))
-    rows = rows.join(around, ["query_id", "place"], "left").join(words, "query_id")
+    rows = found.join(own.select("doc_id", "sentence_id", "tokens", "n_tokens", "max_len_s"), ["doc_id", "sentence_id"])
+    rows = rows.join(at, ["doc_id", "sentence_id"]).join(parts, "doc_id").join(words, "query_id")
+    rows = rows.withColumn("low", F.greatest(F.lit(0), F.col("token_at") - CONTEXT).cast("int"))
+    size = (F.col("token_at") + F.col("n_tokens") + CONTEXT + 1 - F.col("low")).cast("int")
+    rows = rows.withColumn("starts", F.slice("places", F.col("low") + 1, size))
+    first, last = F.col("starts")[0], F.element_at("starts", -1)
+    whole = F.size("starts") < size
+    rows = rows.withColumn("ends", F.when(whole, F.size("parts")).otherwise(last))
+    rows = rows.withColumn("parts", F.slice("parts", first + 1, F.col("ends") - first))
+    rows = rows.withColumn("starts", F.transform("starts", lambda x: x - F.col("starts")[0]))
+    rows = rows.withColumn("shift", (F.col("token_at") - F.col("low")).cast("int")).withColumn("pos", F.transform("tokens", T.universal_pos))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([_drawn(r, cutoff, metric) for r in batch.to_dict("records")], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.select("query_id", "place", "doc_id", "sentence_id", "score", "match", "similarities", "tokens", "max_len_s", "before", "after", "needle").mapInPandas(draw, SCHEMA)
+    columns = ["query_id", "place", "doc_id", "sentence_id", "score", "match", "similarities", "pos", "max_len_s", "parts", "starts", "shift", "needle"]
+    return rows.select(columns).mapInPandas(draw, SCHEMA)
 
 
-def _text(tokens, penalty=None) -> dict:
-    return dict.fromkeys(("t", "similarity", "weight", "pos_s", "pos_t", "metric")) | {"s": " ".join(tokens), "mismatch_penalty": penalty}
+def _text(text: str, penalty=None) -> dict:
+    return dict.fromkeys(("t", "similarity", "weight", "pos_s", "pos_t", "metric")) | {"s": text, "mismatch_penalty": penalty}
 
 
 def _drawn(r: dict, cutoff: int, metric: str) -> tuple:
-    before = [] if r["before"] is None else list(r["before"])
-    after = [] if r["after"] is None else list(r["after"])
-    stream = [*before, *r["tokens"], *after]
-    shift = len(before)
-    costs = gap_costs(len(stream) + 1, cutoff, max(int(r["max_len_s"]), 1))
+    """starts: where the tokens of the window begin in parts, its first token being ``shift`` before the sentence."""
+    parts, starts, shift = list(r["parts"]), [int(x) for x in r["starts"]], int(r["shift"])
+    cut = lambda a, b: "".join(parts[starts[a] : starts[b] if b < len(starts) else len(parts)])
+    costs = gap_costs(len(starts) + 1, cutoff, max(int(r["max_len_s"]), 1))
     pairs = [(int(u) + shift, v) for v, u in enumerate(r["match"]) if u >= 0]
     out: list[dict] = []
     last = max(0, pairs[0][0] - CONTEXT) if pairs else 0
     for k, (u, v) in enumerate(pairs):
         if u > last:
-            out.append(_text(stream[last:u], float(costs[u - last]) if k else None))
+            out.append(_text(cut(last, u), float(costs[u - last]) if k else None))
         t = r["needle"][v]
         out.append({
-            "s": stream[u], "mismatch_penalty": None, "t": t["t_token"], "similarity": float(r["similarities"][v]),
-            "weight": float(t["weight"]), "pos_s": t["pos"], "pos_t": t["pos"], "metric": metric,
+            "s": parts[starts[u]], "mismatch_penalty": None, "t": t["t_token"], "similarity": float(r["similarities"][v]),
+            "weight": float(t["weight"]), "pos_s": r["pos"][u - shift], "pos_t": t["pos"], "metric": metric,
         })
         last = max(last, u + 1)
-    if pairs and last < len(stream):
-        out.append(_text(stream[last : last + CONTEXT]))
+    if pairs and last < len(starts):
+        out.append(_text(cut(last, last + CONTEXT)))
     omitted = [t["t_token"] for t, u in zip(r["needle"], r["match"], strict=True) if u < 0]
     return r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], out, omitted

@@ -573,7 +573,7 @@ def search_mixed(spark, d):
 @query()
 def match_regions(spark, d):
     found = corpus_search(spark, d, FULL).where("place <= 10")
-    out = regions.regions(found, corpus.sentences(docs(spark, d)), S.needles(asked(spark), FULL), FULL.cutoff)
+    out = regions.regions(found, corpus.sentences(docs(spark, d)), S.needles(asked(spark), FULL), FULL.cutoff, docs=docs(spark, d))
     return out.select("query_id", "place", "doc_id", "sentence_id", F.to_json("regions").alias("regions"), F.array_join("omitted", " ").alias("omitted"))
 
 

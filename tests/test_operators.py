@@ -136,6 +136,25 @@ def test_regions(spark, small):
     assert [x["s"] for x in row["regions"] if x["t"]][:2] == ["red", "fish"] or [x["s"] for x in row["regions"] if x["t"]][0] == "red"
 
 
+def test_regions_are_cut_from_the_text(spark):
+    text = "One.  İki, (Two) three... A RED -- very Old;\nfish the Swims!  End of it, said he: five six seven eight nine TEN eleven."
+    docs = spark.createDataFrame([(1, text), (2, "other")], "doc_id long, text string")
+    kind = "query_id long, place int, doc_id long, sentence_id int, score double, match array<int>, similarities array<double>"
+    # sentences: One / İki, (Two) three / A RED -- very Old / fish the Swims / ...
+    rows = spark.createDataFrame([(1, 1, 1, 2, 0.9, [0, 1, -1, 3], [0.5, 1.0, 0.0, 1.0]), (1, 2, 1, 3, 0.8, [0, 2, -1, -1], [1.0, 1.0, 0.0, 0.0])], kind)
+    queries = spark.createDataFrame([(1, "one red zebra old")], "query_id long, query string")
+    needle = S.needles(queries, S.Options())
+    found = {r["place"]: r for r in regions.regions(rows, corpus.sentences(docs), needle, docs=docs).collect()}
+    first = found[1]["regions"]
+    assert [x["s"] for x in first] == ["One.  İki, (Two) three... ", "A", "RED", "very ", "Old", "fish the Swims!  End of it, said he: five six "]
+    assert [(x["pos_s"], x["pos_t"]) for x in first if x["t"]] == [("DET", "NOUN"), ("NOUN", "NOUN"), ("NOUN", "NOUN")]
+    assert (found[1]["omitted"], [x["mismatch_penalty"] is None for x in first]) == (["zebra"], [True, True, True, False, True, True])
+    # İ is one token of the text and two of its lower case
+    assert [x["s"] for x in found[2]["regions"]][1:] == ["fish", "the ", "Swims", "End of it, said he: five six seven eight nine "]
+    short = spark.createDataFrame([(1, 1, 2, 0, 0.9, [0, -1, -1, -1], [0.5, 0.0, 0.0, 0.0])], kind)
+    assert [x["s"] for x in regions.regions(short, corpus.sentences(docs), needle, docs=docs).first()["regions"]] == ["other"]
+
+
 def test_relevance_measures(spark):
     rows = spark.createDataFrame([("q", r, i) for r, i in enumerate("abcd", 1)], "q string, rank int, item string")
     truth = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", "z")], "q string, item string")
