@@ -16,6 +16,7 @@ DOCUMENTS = [
     (4, "the old   river, ran down to the sea"),
 ]
 BENCHMARK = [(0, "So it goes! The old river ran down to the sea. It is so"), (1, "yes. The sea again; gone away"), (2, "one two three four five six seven")]
+SEARCHES = ["search_full", "search_bidirectional", "search_mixed", "match_regions"]
 
 
 def sentences(text):
@@ -27,6 +28,9 @@ def tables(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(DOCUMENTS, "doc_id long, text string").write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    words = sorted({w for _, text in DOCUMENTS for s in sentences(text) for w in s})
+    vectors = [(k, [1.0 if i == k % 8 else 0.1 for i in range(8)]) for k in range(len(words))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(d / "embeddings.parquet"))
     return str(d)
 
 
@@ -50,3 +54,17 @@ def test_quotes_of_any_length_resolve(spark, tables):
     # of the long ones, the counterparts say the same
     assert oracle(tables, "quote_resolver") == {x for x in want if len(quotes[x[0]]) >= 6}
     assert oracle(tables, "unresolved_topics") == {(n,) for n in missing if len(quotes[n]) >= 6}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_take_the_chosen_items(spark, tables, name, monkeypatch):
+    """The sentences of items 0 and 100 are searched for, and each finds the sentence that it is."""
+    rows = [*BENCHMARK, (100, "nothing. the river ran")]
+    monkeypatch.setattr(catalog, "table", lambda s, d, n, own=catalog.table: s.createDataFrame(rows, "item_id long, text string") if n == "benchmark" else own(s, d, n))
+    found = catalog.QUERIES[name](spark, tables).collect()
+    assert {r["query_id"] for r in found} <= {0, 1, 2, 100_000, 100_001}
+    assert {r["query_id"] for r in found} >= {0, 1, 100_001}
+    best = {r["query_id"]: (r["doc_id"], r["sentence_id"]) for r in found if r["place"] == 1}
+    assert best[0] == (1, 0)
+    # without "the", document 4 holds the words of "the river ran" as well, and of equal scores the last stands first
+    assert best[100_001] == ((4, 0) if name == "search_mixed" else (2, 1))
