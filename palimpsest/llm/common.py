@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,9 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local one is made only where the session names none, as in tests."""
+    """The folder that all executors share, as the session names it.
+
+    Only a session in one process (``local[...]``), as in tests, may name none: then a local folder will do. On a
+    cluster a missing setting is an error, since executors could not read what others wrote.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,12 +53,42 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_column(name: str = "text"):
-    """The text, null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the files of stored frames; nothing that is still to be computed may read them."""
+    for df in frames:
+        _forget(df.sparkSession, df.scratch_path)
+
+
+def grouped_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """All rows of one key after another, from batches in order of the keys. Holds one batch and one key's rows."""
+    pending: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        new = np.zeros(len(batch), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if pending and any(pending[-1][k].iloc[-1] != c[0] for k, c in zip(keys, columns, strict=True)):
+            yield _whole(pending)
+            pending = []
+        cuts = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a and pending:
+                yield _whole(pending)
+                pending = []
+            pending.append(batch.iloc[a:b])
+    if pending:
+        yield _whole(pending)
+
+
+def _whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
 def ranked(df: DataFrame, group: str, order: list[str], rows_per_salt: int = 2000) -> DataFrame:
@@ -81,7 +121,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now = saved(now, "edges")
+    source = now = saved(now, "edges")
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -93,7 +133,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v"))
         )
-        now = saved(now.where("u > v").distinct(), "stars")
+        last, now = source, saved(now.where("u > v").distinct(), "stars")
+        free(last)
+        source = now
         state = now.agg(
             F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
         ).first()
