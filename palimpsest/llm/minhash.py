@@ -121,9 +121,12 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 SKETCH = "doc_id long, th long, n long, digest binary, sig binary, keys array<long>"
 
 
-def row_key() -> list:
-    """Columns that tell a row by its id and its whole text; th is a hash of the text."""
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
+ROW = ["o", "th"]
+
+
+def row_key() -> dict:
+    """Columns that tell a row by its id (null as the least long) and a hash of its text, never null themselves."""
+    return {"o": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64(F.coalesce("text", F.lit("")))}
 
 
 def sketch(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
@@ -147,7 +150,8 @@ def sketch(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
             made.insert(1, "th", batch["th"])
             yield made
 
-    return docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SKETCH)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(row_key())
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text").mapInPandas(run, SKETCH)
 
 
 def matrix(column: pd.Series, kind) -> np.ndarray:
@@ -178,10 +182,9 @@ def possible(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, members) for nodes(node, doc_id, th): the sorted shingle hashes, from the text of the row that stands for it."""
-    known = nodes.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    texts = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "node", "text")
-    texts = texts.dropDuplicates(["doc_id", "th", "node"]).select("node", "text")  # rows that are wholly alike
+    known = nodes.select("node", row_key()["o"].alias("o"), "th")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(row_key()).drop("doc_id")
+    texts = texts.join(known, ROW).dropDuplicates([*ROW, "node"]).select("node", "text")  # rows that are wholly alike
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
