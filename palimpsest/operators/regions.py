@@ -17,12 +17,13 @@ REGION = "s string, mismatch_penalty double, t string, similarity double, weight
 SCHEMA = f"query_id long, place int, doc_id long, sentence_id int, score double, regions array<struct<{', '.join(x.replace(' ', ':', 1) for x in REGION.split(', ')).replace(', ', ',')}>>, omitted array<string>"
 
 
-def regions(found: DataFrame, sentences: DataFrame, needle: DataFrame, cutoff: int = 5, metric: str = "cosine", docs: DataFrame | None = None) -> DataFrame:
+def regions(found: DataFrame, sentences: DataFrame, needle: DataFrame, cutoff: int = 5, docs: DataFrame | None = None) -> DataFrame:
     """Runs of text around and between matched tokens, and the needle tokens that nothing matched.
 
     From ten tokens before the match to ten after it, over sentence borders, cut from the texts of docs. A run ends
-    where the next token starts, or with the text. Text between matched tokens carries the gap cost of what it skips.
-    Without docs, sentences joined by line feeds stand for the text.
+    where the next token starts, or with the text. Text between matched tokens carries the gap cost of what it skips,
+    text before the first has no cost. Matched tokens carry the similarity, weight and origin (the metric that gave
+    the similarity) of found, where it has them. Without docs, sentences joined by line feeds stand for the text.
     """
     wanted = found.select("doc_id").distinct()
     own = sentences.join(F.broadcast(wanted), "doc_id", "left_semi")
@@ -51,9 +52,10 @@ def regions(found: DataFrame, sentences: DataFrame, needle: DataFrame, cutoff: i
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_drawn(r, cutoff, metric) for r in batch.to_dict("records")], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield pd.DataFrame([_drawn(r, cutoff) for r in batch.to_dict("records")], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    columns = ["query_id", "place", "doc_id", "sentence_id", "score", "match", "similarities", "pos", "max_len_s", "parts", "starts", "shift", "needle"]
+    told = [c for c in ("weights", "origins") if c in found.columns]
+    columns = ["query_id", "place", "doc_id", "sentence_id", "score", "match", "similarities", *told, "pos", "max_len_s", "parts", "starts", "shift", "needle"]
     return rows.select(columns).mapInPandas(draw, SCHEMA)
 
 
@@ -61,7 +63,7 @@ def _text(text: str, penalty=None) -> dict:
     return dict.fromkeys(("t", "similarity", "weight", "pos_s", "pos_t", "metric")) | {"s": text, "mismatch_penalty": penalty}
 
 
-def _drawn(r: dict, cutoff: int, metric: str) -> tuple:
+def _drawn(r: dict, cutoff: int) -> tuple:
     """starts: where the tokens of the window begin in parts, its first token being ``shift`` before the sentence."""
     parts, starts, shift = list(r["parts"]), [int(x) for x in r["starts"]], int(r["shift"])
     cut = lambda a, b: "".join(parts[starts[a] : starts[b] if b < len(starts) else len(parts)])
@@ -71,11 +73,12 @@ def _drawn(r: dict, cutoff: int, metric: str) -> tuple:
     last = max(0, pairs[0][0] - CONTEXT) if pairs else 0
     for k, (u, v) in enumerate(pairs):
         if u > last:
-            out.append(_text(cut(last, u), float(costs[u - last]) if k else None))
+            out.append(_text(cut(last, u), float(costs[u - last]) if k else 0.0))
         t = r["needle"][v]
         out.append({
             "s": parts[starts[u]], "mismatch_penalty": None, "t": t["t_token"], "similarity": float(r["similarities"][v]),
-            "weight": float(t["weight"]), "pos_s": r["pos"][u - shift], "pos_t": t["pos"], "metric": metric,
+            "weight": float(r["weights"][v] if "weights" in r else t["weight"]), "pos_s": r["pos"][u - shift], "pos_t": t["pos"],
+            "metric": r["origins"][v] if "origins" in r else None,
         })
         last = max(last, u + 1)
     if pairs and last < len(starts):

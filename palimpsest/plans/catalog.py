@@ -522,7 +522,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sco
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC, sentence_id DESC)::INT AS place FROM kept WHERE dn <= 101)
 SELECT query_id, place, doc_id, sentence_id, round(score, 6) AS score FROM top WHERE place <= 100""")
 def search_single_token(spark, d):
-    found = S.search(corpus.sentences(docs(spark, d)), engine_vocabulary(spark, d), single_queries(spark, d), SINGLE)
+    found = corpus_search(spark, d, SINGLE, single_queries(spark, d))
     return found.select("query_id", "place", "doc_id", "sentence_id", six("score").alias("score"))
 
 
@@ -549,35 +549,96 @@ def chosen(spark, d) -> DataFrame:
 
 def corpus_search(spark, d, options: S.Options, queries: DataFrame | None = None) -> DataFrame:
     queries = chosen(spark, d) if queries is None else queries
-    return S.search(corpus.sentences(docs(spark, d)), engine_vocabulary(spark, d), queries, options)
+    return S.search_corpus(docs(spark, d), engine_vocabulary(spark, d), queries, options)
 
 
-def full(found: DataFrame) -> DataFrame:
-    return found.select(*RESULT, six("score").alias("score"), "match")
-
-
-RESULT = ["query_id", "place", "doc_id", "sentence_id"]
+def scored(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "place", "doc_id", "sentence_id", six("score").alias("score"))
 
 
-@query()
+def search_sql(metrics: str, threshold: float = 0.11, mismatch: float = 0.5, weight: str = "1.0", skip: str = "false", both: bool = False) -> str:
+    """A search as SQL, up to ``top`` (m, query_id, place, doc_id, sentence_id, score).
+
+    ``metrics`` selects (m, token, t_token, s) from pairs ``pr`` of vocabulary words and needle tokens nt. An alignment
+    is a fold over the needle's tokens: each adds the column of its cells (one for each token of the sentence).
+    """
+    cost = lambda n: f"CASE WHEN {n} >= longest THEN 1e10 ELSE 1 - pow(2.0, -({n}) / 5.0) END"
+    v = "x[1][1]::INT"
+    column = f"""list_transform([list_transform(range(1, n + 1), lambda u: greatest(0.5, g[u][{v}] + CASE WHEN {v} > 1 AND u > 1 THEN cols[{v} - 1][u - 1] ELSE 0 END,
+      coalesce(list_max(list_transform(range(1, {v}), lambda k: cols[k][u] - {cost(f'{v} - k')})), 0.5)))],
+      lambda b: list_transform(range(1, n + 1), lambda u: greatest(b[u], coalesce(list_max(list_transform(range(1, u), lambda k: b[k] - {cost('u - k')})), 0.5))))[1]"""
+    raw = f"list_max(flatten(list_reduce(list_transform(range(1, len(g[1]) + 1), lambda v: [[v::DOUBLE]]), lambda cols, x: list_append(cols, {column}), []::DOUBLE[][])))"
+    turned = "UNION ALL SELECT m, query_id, total, doc_id, sentence_id, n, longest, list_reverse(list_transform(g, lambda r: list_reverse(r))) FROM gr" if both else ""
+    pos = lambda c: POS.replace("token", c)
+    return (
+        VOCAB
+        + NEEDLES
+        + f""",
+w0 AS (SELECT query_id, list_filter(words, lambda token: NOT ({skip})) AS words FROM nl WHERE (query_id // 1000) % 100 = 0),
+nw AS (SELECT query_id, unnest(words) AS token, unnest(range(len(words)))::INT AS v FROM w0),
+nt AS (SELECT query_id, token AS t_token, v, {weight} AS w FROM nw),
+ndt AS (SELECT DISTINCT t_token FROM nt),
+most AS (SELECT max(idf) AS most FROM ev),
+pr AS (SELECT e.token, t.token AS t_token, e.idf / most AS share, e.vec AS a, t.vec AS b FROM ndt JOIN ev t ON t.token = ndt.t_token, ev e, most WHERE e.token <> t.token),
+near AS ({metrics}),
+sc AS (SELECT m, query_id, token, v, s * (w * CASE WHEN {pos('near.token')} = {pos('nt.t_token')} THEN 1.0 ELSE {mismatch} END) AS score FROM near JOIN nt USING (t_token)),
+hit AS (SELECT * FROM sc WHERE score > {threshold}),
+ts AS (SELECT m, query_id, token, list(coalesce(score, 0) ORDER BY v) AS l FROM (SELECT DISTINCT m, query_id, token FROM hit)
+       JOIN (SELECT query_id, v FROM nt) USING (query_id) LEFT JOIN hit USING (m, query_id, token, v) GROUP BY ALL),
+zero AS (SELECT m, query_id, list(0.0::DOUBLE ORDER BY v) AS z, sum(w)::DOUBLE AS total FROM nt, (SELECT DISTINCT m FROM near) GROUP BY m, query_id),
+tk AS (SELECT doc_id, sentence_id, n_tokens AS n, max_len_s AS longest, unnest(tokens) AS token, unnest(range(len(tokens))) AS u FROM sn),
+gr AS (SELECT m, query_id, any_value(total) AS total, doc_id, sentence_id, any_value(n) AS n, any_value(longest) AS longest, list(coalesce(l, z) ORDER BY u) AS g
+       FROM tk CROSS JOIN zero LEFT JOIN ts USING (m, query_id, token) GROUP BY m, query_id, doc_id, sentence_id),
+ways AS (SELECT m, query_id, total, doc_id, sentence_id, n, longest, g FROM gr {turned}),
+rw AS (SELECT m, query_id, doc_id, sentence_id, max({raw} / total) AS score FROM ways GROUP BY m, query_id, doc_id, sentence_id HAVING max({raw} / total) > 0.2),
+fl AS (SELECT *, first_value(score) OVER w AS f, row_number() OVER w AS fn FROM rw WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY m, sentence_id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, sentence_id DESC, m) AS dn FROM fl WHERE fn = 1 OR score > f),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC, sentence_id DESC, m)::INT AS place FROM kept WHERE dn <= 101),
+top AS (SELECT * FROM pl WHERE place <= 100)"""
+    )
+
+
+COSINE_SQL = "SELECT 0 AS m, token, t_token, list_dot_product(a, b) AS s FROM pr UNION ALL SELECT 0, t_token, t_token, 1.0 FROM ndt"
+SCORED = " SELECT query_id, place, doc_id, sentence_id, round(score, 6) AS score FROM top"
+
+
+@query(search_sql(COSINE_SQL) + SCORED)
 def search_full(spark, d):
     """Several needles against the whole corpus, in one scan."""
-    return full(corpus_search(spark, d, FULL))
+    return scored(corpus_search(spark, d, FULL))
+
+
+@query(search_sql(COSINE_SQL, both=True) + SCORED)
+def search_reversed(spark, d):
+    """The better of the alignment and that of both sequences reversed."""
+    return scored(corpus_search(spark, d, S.Options(similarity_threshold=0.11, pos_mismatch_penalty=0.5, bidirectional=True)))
 
 
 @query()
 def search_bidirectional(spark, d):
-    return full(corpus_search(spark, d, S.Options(similarity_threshold=0.11, pos_mismatch_penalty=0.5, bidirectional=True, submatch_weight=2.0)))
+    """As search_reversed, with a weight for what is left unmatched; tests/test_search.py holds it against plain Python."""
+    options = S.Options(similarity_threshold=0.11, pos_mismatch_penalty=0.5, bidirectional=True, submatch_weight=2.0)
+    return corpus_search(spark, d, options).select("query_id", "place", "doc_id", "sentence_id", six("score").alias("score"), "match")
 
 
-@query()
+# Both metrics are scaled by idf before words count as wholly similar to themselves, then raised to the falloff. A mix
+# at 0.25 weighs its first metric by 1 and its second by 1/3.
+MIXED_SQL = """
+SELECT 0 AS m, token, t_token, pow(list_dot_product(a, b) * share, 2.0) AS s FROM pr UNION ALL SELECT 0, t_token, t_token, 1.0 FROM ndt
+UNION ALL SELECT 1, token, t_token, greatest(pow(list_dot_product(a, b) * share, 2.0),
+  pow(greatest(0.0, 1 - sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 0.5) * share, 2.0) * (0.5 / 1.5)) FROM pr
+UNION ALL SELECT 1, t_token, t_token, 1.0 FROM ndt"""
+TAG_SQL = f"CASE {POS} WHEN 'DET' THEN 0.85 WHEN 'NUM' THEN 0.9 ELSE 0.9 END::DOUBLE"
+
+
+@query(search_sql(MIXED_SQL, weight=TAG_SQL, skip=f"token IN {DETERMINERS}") + " SELECT m AS metric_no, query_id, place, doc_id, sentence_id, round(score, 6) AS score FROM top")
 def search_mixed(spark, d):
     """Two metrics, one a mix; idf, falloff and part-of-speech weights on."""
     options = S.Options(
         metrics=("cosine", ("cosine", "p-norm", 0.25)), idf_weight=0.5, similarity_falloff=2.0, pos_mismatch_penalty=0.5,
         pos_weights={k: 0.5 + 0.5 * w for k, w in T.TAG_WEIGHTS.items()}, similarity_threshold=0.11, ignore_determiners=True,
     )
-    return corpus_search(spark, d, options).select("metric_no", *RESULT, six("score").alias("score"))
+    return corpus_search(spark, d, options).select("metric_no", "query_id", "place", "doc_id", "sentence_id", six("score").alias("score"))
 
 
 @query()
@@ -597,4 +658,4 @@ def progressive_topk(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a user types, against the whole corpus."""
-    return full(corpus_search(spark, sf_dir, FULL, asked(spark)))
+    return scored(corpus_search(spark, sf_dir, FULL, asked(spark)))
