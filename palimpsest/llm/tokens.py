@@ -1,8 +1,8 @@
 """Token ids with a word cache, and the cutting of documents into pieces.
 
 The word vocabulary drops white space and no pre-token crosses it, so the ids of a text are those of its
-blank-separated chunks one after another. Each worker keeps the ids of the chunks it has met (a bounded dictionary,
-emptied when full) and asks the library only for new ones. Chunks are cut at space and line feed alone; any other
+blank-separated chunks one after another. Each worker keeps the ids of the chunks it has met (a dictionary, emptied when
+the next text's would make it too large) and asks the library only for new ones. Chunks are cut at space and line feed alone; any other
 white space stays inside its chunk, where the library treats it.
 """
 
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 CACHE_WORDS = 1_000_000
 LONGEST_CACHED = 48
-PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,!?;:]*)\Z")
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: Marks that no pre-token shares with a letter before them: ASCII ones but the apostrophe, and "<" that may begin a special string.
+MARKS = ".,!?;:$%&*#()-/\"@+=|~^"
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,50 +51,41 @@ class WordIds:
 
     def learn(self, chunks: set[str]) -> None:
         """Letters and the marks after them are separate pre-tokens, so a word is looked up without its marks."""
-        if len(self.cache) + len(chunks) > CACHE_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
+        cache, tokenize = self.cache, self.tokenizer.model.tokenize
         for chunk in chunks:
             low = chunk.lower()
-            found = PLAIN.match(low) if len(low) == len(chunk) else None
-            if not found:
+            word = low.rstrip(MARKS)
+            if len(low) != len(chunk) or not (word.isalpha() and (word.isascii() or PLAIN.fullmatch(word))):
                 cache[chunk] = self.encoded(chunk)
                 continue
-            word, marks = found.groups()
             if (ids := cache.get(word)) is None:
-                ids = self.word(word)
-                cache[word] = ids
-            if marks:
+                # a word of letters is one pre-token, already composed and in lower case: the model can take it as it is
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array("H", [t.id for t in tokenize(spelled)]).tobytes()
+                if len(word) <= LONGEST_CACHED:
+                    cache[word] = ids
+            if len(word) < len(low):
+                marks = low[len(word) :]
                 if (tail := cache.get(marks)) is None:
                     tail = cache[marks] = self.encoded(marks)
                 ids += tail
             cache[chunk] = ids
 
-    def word(self, word: str) -> bytes:
-        """A word of letters is one pre-token, already composed and in lower case: the model can take it as it is."""
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-
     def ids(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        get = self.cache.get
-        try:
-            return b"".join(map(get, chunks))
-        except TypeError:
-            pass
-        long = {}
-        new = set()
-        for x in set(chunks):
-            if x not in self.cache:
-                if len(x) > LONGEST_CACHED:
-                    long[x] = self.encoded(x)
-                else:
-                    new.add(x)
+        distinct = set(chunks)
+        new = distinct.difference(self.cache)
+        if not new:
+            return b"".join(map(self.cache.__getitem__, chunks))
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = {"": b""}
+            new = distinct.difference(self.cache)
+        long = [x for x in new if len(x) > LONGEST_CACHED]
         self.learn(new)
-        if len(new) > CACHE_WORDS // 2:  # one huge text; its words need not all fit
-            return b"".join([long[x] if x in long else self.cache.get(x) or self.encoded(x) if x else b"" for x in chunks])
-        # learning may have emptied the cache of chunks that this text has as well
-        return b"".join([long[x] if x in long else self.cache[x] if x in self.cache else self.encoded(x) for x in chunks])
+        found = b"".join(map(self.cache.__getitem__, chunks))
+        for x in long:  # those are not met again
+            del self.cache[x]
+        return found
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
