@@ -51,7 +51,7 @@ def clashing(docs):
 def test_word_ids():
     words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(1)
-    texts = ["", "a<|endoftext|>b", "it's İ ΣΑΣ x\x1cy", "é b ́x", "don't!? Zoë", "x" * 70, "a\tb\r\nc", "ÀÉ é."]
+    texts = ["", "a<|endoftext|>b", "it's İ ΣΑΣ x\x1cy", "é b ́x", "don't!? Zoë", "x" * 70, "a\tb\r\nc", "ÀÉ é.", "word$$$ a.### ß-x* y(z) q=|~^ r\"s\" t@<|endoftext|> ßa$'s b.'s"]
     texts += ["".join(rng.choice("ab .'’éÉÑſßİ\n\t12<|endoftext|>中") for _ in range(60)) for _ in range(300)]
     for text in texts:
         assert np.frombuffer(words.ids(text), "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
@@ -259,9 +259,10 @@ def test_peeling_needs_larger_sketches(spark):
     assert row.selectExpr(f"{fingerprints.difference('a', 'b', 'sa', 'sb')} d").first()["d"] == len(set(a) ^ set(b))
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_embeddings(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 20)
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((6, 24))
     rows = []
@@ -284,6 +285,27 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_at_a_depth(spark, monkeypatch):
+    """Labels of unequal sizes with planted neighbours on both sides of the threshold; the large one is cut into leaves."""
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 256)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((2000, 32))
+    near = base[:500] + rng.standard_normal((500, 32)) * 0.3 * rng.random((500, 1)) * np.linalg.norm(base[:500], axis=1, keepdims=True) / 32**0.5
+    rows = [(i, v.tolist(), 0 if i % 2000 < 1800 else 1) for i, v in enumerate(np.concatenate([base, near]))]
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None]) & ~np.eye(len(v), dtype=bool)
+    assert 100 < link.sum() < 900
+    assert [found[i] for i in range(len(rows))] == link.sum(1).tolist()
+
+
+def test_embeddings_of_any_scale(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [-1e300, 1e-300], 0), (5, [-1e-300, 0.0], 0), (5, [-1.0, 0.0], 0)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (5, 2, 4), (5, 2, 4)]
+
+
 @pytest.fixture(scope="module")
 def real(spark):
     return "/root/testdata/sf0.01"
