@@ -30,12 +30,16 @@ def packed_ids(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49
     ``input_ids`` is a row of the id matrix: ``limit`` ids, padded with pad_id. ``cu_seqlens`` are the cumulative
     segment lengths from 0 on; ``position_resets`` the places at which positions start again from 0, and
     ``position_ids`` the positions themselves, 0 in the padding. Overlong documents are cut without loss: the pieces
-    of a document, one after another, are its ids. Null and empty texts are the end id alone; rows of one doc_id are
-    packed each by itself; an empty table gives no rows.
+    of a document, one after another, are its ids. Null and empty texts are the end id alone; rows of one doc_id, null
+    included, are packed each by itself, their pieces not told apart but by their ids; an empty table gives no rows;
+    other columns are ignored.
     """
-    pieces = saved(cut_pieces(docs, tokenizer, limit, end_id, keep_ids=True), "ids")
+    cut = cut_pieces(docs, tokenizer, limit, end_id, keep_ids=True)
+    pieces = saved(cut.withColumn("number", F.monotonically_increasing_id()), "ids")
     runs = best_fit_decreasing(histogram(pieces), limit)
-    rows = placed(ranked(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"]), runs)
+    # lengths alone are ranked; the ids move once to their places and once into their sequences
+    places = placed(ranked(pieces.select("number", "length"), "length", ["number"]), runs)
+    rows = pieces.join(places.select("number", "sequence_id", "offset"), "number")
     segment = F.struct("offset", "length", "doc_id", "piece", "ids")
     rows = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
 
