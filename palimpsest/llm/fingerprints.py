@@ -1,15 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame expressions alone.
 
-A text is cut into paragraphs (lines, and in long lines pieces of at least ``piece`` characters that end with a
-sentence), each a 64-bit digest. The query cuts after ``SHORT_PIECE``: longer pieces lose halves that short texts
-share. A sketch has three tables of ``SIDE`` cells; a digest goes into one cell of each, where counts add up and keys
-and checks are xored. Subtracting two sketches cell by cell leaves the differing digests, and peeling takes them out:
-a cell with one digest left gives it away, it is taken from its other cells, and so on. If cells remain, the sketch was
-too small, and both sides are sketched again with more cells: digests are dealt over 4, 32, ... blocks by other bits,
-and each block is a sketch of its own. What even the largest leaves is compared by set difference.
-
-The fingerprint is the smallest sketch, written in hexadecimal. The likeness of two texts is the share of paragraphs
-that both have: (a + b - d) / (a + b + d) with d digests recovered, 1 if neither has any.
+A text is cut into paragraphs: pieces of a line that end with the first sentence after ``PIECE`` characters, or with the
+word that passes twice as many; each has a digest. A sketch has three tables of ``SIDE`` cells; a digest goes into one cell of each,
+where counts add up and keys and checks are xored. Subtracting two sketches cell by cell leaves the differing digests,
+and peeling takes them out: a cell with one digest left gives it away, it is taken from its other cells, and so on, until
+every differing digest and its side are known. If cells remain, the sketch was too small or unlucky. Then the digests
+of both texts go into larger sketches of ``LARGE`` cells a table, one for about ``LOAD`` of them, and where one of those
+fails into ``SPLIT`` more, with fresh bits each time. What fails ``LEVELS`` times over (a few times in a million, since
+each larger sketch fails for about one pair in forty) is compared by set difference.
+
+The fingerprint is the smallest sketch, written in hexadecimal. It tells how many digests a text has (the counts of a
+table), so two fingerprints alone give the likeness of their texts wherever they peel: shared / (shared + differing),
+1 if neither has any.
 """
 
 from __future__ import annotations
@@ -20,76 +22,103 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-PIECE = 300
-SHORT_PIECE = 100
-SIDE = 16
-ROUNDS = 12
-BLOCKS = (4, 32, 256, 2048)
-ROWS_PER_BUCKET = 2048
+PIECE = 50
+SIDE = 32
+LARGE = 64
+LOAD = 100
+SPLIT = 4
+LEVELS = 3
+ROUNDS = 16
+ROWS_PER_BUCKET = 512
 QUANTILES = 256
-CELLS = 3 * SIDE
 EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
+NONE = "CAST(array() AS ARRAY<BIGINT>)"
 
 
 def digests(text: str, piece: int = PIECE) -> str:
-    pattern = f"[^\\\\n]{{1,{piece}}}[^\\\\n.!?]*[.!?]*"
-    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p)))"
+    """62-bit digests, so that a digest and its side fit into one long."""
+    pattern = f"[^\\\\n]{{1,{piece}}}[^\\\\n.!?]{{0,{piece}}}[^\\\\s.!?]*[.!?]*"
+    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p) & {(1 << 62) - 1}L))"
 
 
 def check(k: str) -> str:
     return f"(xxhash64({k}, 1) & 4294967295L)"
 
 
-def tables(each: str) -> str:
-    """The cells of the three tables, one after another; a digest's place in each is told by other bits of it."""
-    bits = ["({k} & %d)", "(shiftright({k}, 21) & %d)", "(shiftright({k}, 42) & %d)"]
-    return f"concat({', '.join(each.replace('[bits]', x % (SIDE - 1)).replace('[from]', str(1 + n * SIDE)) for n, x in enumerate(bits))})"
+def bound(value: str, name: str, body: str) -> str:
+    """body with name standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def sketch(found: str) -> str:
-    cell = (
-        f"transform(sequence(0, {SIDE - 1}), i -> aggregate(filter({found}, d -> [bits] = i), {EMPTY}, "
-        f"(a, d) -> named_struct('c', a.c + 1, 'k', a.k ^ d, 'h', a.h ^ {check('d')})))"
-    )
-    return tables(cell).replace("{k}", "d")
+def side(level: int) -> int:
+    return LARGE if level else SIDE
 
 
-def subtract(left: str, right: str) -> str:
-    return f"zip_with({left}, {right}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-
-
-def peel(cells: str) -> str:
-    """How many digests come out, or null if cells remain."""
-    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = {check('x.k')}), x -> named_struct('k', x.k, 'c', x.c)))"
-    taken = tables(
-        f"transform(slice(s.cells, [from], {SIDE}), (x, i) -> aggregate(filter(pure, q -> [bits] = i), x, "
-        f"(a, q) -> named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ {check('q.k')})))"
-    ).replace("{k}", "q.k")
-    left = "exists({}, x -> x.c <> 0 OR x.k <> 0L OR x.h <> 0L)"
-    after = f"transform(array({taken}), cells -> named_struct('cells', cells, 'n', s.n + size(pure), 'open', {left.format('cells')}))[0]"
-    turn = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('cells', s.cells, 'n', -1, 'open', false), {after}))[0]"
-    start = f"transform(array({cells}), cells -> named_struct('cells', cells, 'n', 0, 'open', {left.format('cells')}))[0]"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.open, {turn}, s), s -> if(s.open OR s.n < 0, CAST(NULL AS INT), s.n))"
-
-
-def difference(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
-    """How many digests differ between arrays a and b: the smallest sketch that peels, larger ones on failure."""
-    tries = [f"if(abs(size({a}) - size({b})) >= {CELLS}, CAST(NULL AS INT), {peel(subtract(sketch_a, sketch_b))})"]
-    for blocks in BLOCKS:
-        in_block = [f"filter({x}, d -> (shiftright(d, 8) & {blocks - 1}) = block)" for x in (a, b)]
-        parted = f"if(own[0] = own[1], 0, {peel(subtract(sketch('own[0]'), sketch('own[1]')))})"
-        parts = f"transform(sequence(0, {blocks - 1}), block -> transform(array(array({', '.join(in_block)})), own -> {parted})[0])"
-        total = f"aggregate(parts, 0, (n, x) -> n + x)"
-        tries.append(
-            f"if(abs(size({a}) - size({b})) >= {CELLS * blocks}, CAST(NULL AS INT), transform(array({parts}), parts -> {total})[0])"
+def tables(found: str, level: int, digest: str = "{}", count: str = "1") -> str:
+    """The cells of the three tables of the elements of an array, one after another.
+
+    A digest's places are told by other bits of it in each table, by other ones at the first two levels, and by those
+    of another hash at each later one. Elements are sorted into cells in two steps, so in each table they are looked at
+    about twice the root of its cells times.
+    """
+    high = 1 << ((side(level).bit_length() - 1) // 2)
+    low = side(level) // high
+    own = digest.format("d") if level < 2 else f"xxhash64({digest.format('d')}, {level})"
+    out = []
+    for n in range(3):
+        at = 20 * n + 6 * (level == 1)
+        bits = lambda shift, many: f"(shiftright({own}, {shift}) & {many - 1})" if shift else f"({own} & {many - 1})"
+        cell = (
+            f"aggregate(filter(part, d -> {bits(at + high.bit_length() - 1, low)} = low), {EMPTY}, (a, d) -> "
+            f"named_struct('c', a.c + {count}, 'k', a.k ^ {digest.format('d')}, 'h', a.h ^ {check(digest.format('d'))}))"
         )
-    tries.append(f"size(array_except({a}, {b})) + size(array_except({b}, {a}))")
-    return f"coalesce({', '.join(tries)})"
+        every = f"if(size(part) = 0, array_repeat({EMPTY}, {low}), transform(sequence(0, {low - 1}), low -> {cell}))"
+        inner = bound(f"filter({found}, d -> {bits(at, high)} = high)", "part", every)
+        out.append(f"flatten(transform(sequence(0, {high - 1}), high -> {inner}))")
+    return f"concat({', '.join(out)})"
+
+
+def sketch(found: str, level: int = 0) -> str:
+    return tables(found, level)
+
+
+def subtract(left: str, right: str) -> str:
+    return f"zip_with({left}, {right}, (x, y) -> if(y.c = 0 AND y.k = 0L, x, named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h)))"
+
+
+def peel(cells: str, level: int = 0) -> str:
+    """The digests that differ, or null if cells remain: each doubled, plus 1 for those of the left."""
+    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = {check('x.k')}), x -> shiftleft(x.k, 1) + CAST(x.c = 1 AS BIGINT)))"
+    rest = subtract("s.cells", tables("pure", level, "shiftright({}, 1)", "CAST(2 * (d & 1) - 1 AS INT)"))
+    after = f"named_struct('cells', {rest}, 'out', concat(s.out, pure), 'stuck', false)"
+    turn = bound(pure, "pure", f"if(size(pure) = 0, named_struct('cells', s.cells, 'out', s.out, 'stuck', true), {after})")
+    start = f"named_struct('cells', {cells}, 'out', {NONE}, 'stuck', false)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.stuck, s, {turn}), s -> if(exists(s.cells, x -> x.c <> 0 OR x.k <> 0L), NULL, s.out))"
+
+
+def difference(a: str, b: str, level: int = 1) -> str:
+    """The digests that differ between arrays a and b, by sketches as large as they need; as ``peel`` gives them."""
+    if level > LEVELS:
+        return f"concat(transform(array_except({a}, {b}), k -> shiftleft(k, 1) + 1L), transform(array_except({b}, {a}), k -> shiftleft(k, 1)))"
+    parts = f"CAST(ceil((size({a}) + size({b})) / {LOAD}.0D) AS INT)" if level == 1 else f"{SPLIT}"
+    own = lambda x: f"if(n{level} = 1, {x}, filter({x}, d -> pmod(xxhash64(d, {level + 100}), n{level}) = i{level}))"
+    left, right = f"p{level}.a", f"p{level}.b"
+    tried = peel(subtract(sketch(left, level), sketch(right, level)), level)
+    part = f"if({left} = {right}, {NONE}, coalesce({tried}, {difference(left, right, level + 1)}))"
+    one = bound(f"named_struct('a', {own(a)}, 'b', {own(b)})", f"p{level}", part)
+    each = bound(parts, f"n{level}", f"flatten(transform(sequence(0, n{level} - 1), i{level} -> {one}))")
+    return f"if(size({a}) + size({b}) = 0, {NONE}, {each})"
+
+
+def compared(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
+    """``difference``, first by the fingerprints' own sketches, unless so few of their cells are empty that they cannot peel."""
+    small = bound(subtract(sketch_a, sketch_b), "cells", f"if(size(filter(cells, x -> x.c = 0 AND x.k = 0L)) * 8 < {3 * SIDE}, NULL, {peel('cells')})")
+    return f"coalesce({small}, {difference(a, b)})"
 
 
 def likeness(a: str, b: str, d: str) -> str:
     both = f"(size({a}) + size({b}))"
-    return f"if({both} = 0, 1.0D, CAST({both} - {d} AS DOUBLE) / ({both} + {d}))"
+    return f"if({both} = 0, 1.0D, CAST({both} - size({d}) AS DOUBLE) / ({both} + size({d})))"
 
 
 def written(cells: str) -> str:
@@ -157,13 +186,14 @@ def sketched(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     return rows.withColumn("found", F.expr(digests("text", piece))).withColumn("cells", F.expr(sketch("found")))
 
 
-def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
+def fingerprints(docs: DataFrame, piece: int = PIECE, digests_of_edits: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first as many, or all,
     of the next document in descending doc_id; after the last comes the first, and a single document follows itself.
-    Null texts are empty and have no paragraph. Rows of one doc_id are documents of their own. An empty table gives
-    no rows; other columns are ignored.
+    With digests_of_edits, ``removed`` and ``added`` are the paragraph digests that the edit took out and brought in, as
+    peeling recovers them. Null texts are empty and have no paragraph. Rows of one doc_id, null included, are documents
+    of their own, null ids last. An empty table gives no rows; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(base, piece)
@@ -178,15 +208,17 @@ def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = rows.select(
         "doc_id", "n_chars", "edited_sha256", "found", "edited_found", "next_found",
         F.expr(written("cells")).alias("fingerprint"), F.expr(written("edited_cells")).alias("edited_fingerprint"),
-        F.expr(difference("found", "edited_found", "cells", "edited_cells")).alias("d_edited"),
-        F.expr(difference("found", "next_found", "cells", "next_cells")).alias("d_next"),
+        F.expr(compared("found", "edited_found", "cells", "edited_cells")).alias("d_edited"),
+        F.expr(compared("found", "next_found", "cells", "next_cells")).alias("d_next"),
     )
+    of = lambda name, c: F.expr(f"transform(filter(d_edited, x -> (x & 1) = {c}), x -> shiftright(x, 1))").alias(name)
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         F.expr(likeness("found", "edited_found", "d_edited")).alias("near_edited"),
         F.expr(likeness("found", "next_found", "d_next")).alias("near_next"),
+        *([of("removed", 1), of("added", 0)] if digests_of_edits else []),
     )
 
 
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read(spark, sf_dir, "documents"), SHORT_PIECE)
+    return fingerprints(read(spark, sf_dir, "documents"))

@@ -221,9 +221,9 @@ def test_fingerprints(docs, empty, monkeypatch, rows_per_bucket):
 
     monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", rows_per_bucket)
     monkeypatch.setattr(fingerprints, "QUANTILES", 4)
-    own = docs.where("doc_id IS NOT NULL AND doc_id <> 60")
+    own = docs.where("doc_id IS NOT NULL AND doc_id <> 60").withColumns({c: F.lit(1) for c in ("found", "next", "o", "bucket", "cells", "edge")})
     rows = sorted(((r["doc_id"], r["text"] or "") for r in own.collect()), reverse=True)
-    pieces = re.compile(r"[^\n]{1,300}[^\n.!?]*[.!?]*")
+    pieces = re.compile(r"[^\n]{1,50}[^\n.!?]{0,50}[^\s.!?]*[.!?]*")
 
     def like(a, b):
         a, b = set(pieces.findall(a)), set(pieces.findall(b))
@@ -251,12 +251,39 @@ def test_short_texts_keep_their_shared_half(spark, tmp_path):
     assert all(r["near_edited"] > 0 and r["near_next"] == 0 for r in found.values())
 
 
-def test_peeling_needs_larger_sketches(spark):
-    a, b = list(range(1, 400)), list(range(300, 900))
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").selectExpr("transform(a, x -> xxhash64(x)) a", "transform(b, x -> xxhash64(x)) b")
-    row = row.selectExpr("a", "b", f"{fingerprints.sketch('a')} sa", f"{fingerprints.sketch('b')} sb")
-    assert row.selectExpr(f"{fingerprints.peel(fingerprints.subtract('sa', 'sb'))} d").first()["d"] is None
-    assert row.selectExpr(f"{fingerprints.difference('a', 'b', 'sa', 'sb')} d").first()["d"] == len(set(a) ^ set(b))
+@pytest.mark.parametrize(("a", "b"), [((1, 20), (10, 30)), ((1, 400), (300, 900)), ((0, 0), (0, 9000)), ((5, 9), (5, 9)), ((1, 3000), (2990, 6000))])
+def test_peeling_recovers_the_digests(spark, a, b):
+    def hashed(r):
+        return f"transform(filter(sequence({r[0]}, {r[1]}), x -> x < {r[1]}), x -> xxhash64(x) & {(1 << 62) - 1}L)"
+
+    row = spark.range(1).selectExpr(f"{hashed(a)} a", f"{hashed(b)} b").selectExpr("a", "b", f"{fingerprints.sketch('a')} sa", f"{fingerprints.sketch('b')} sb").cache()
+    a, b = (set(x) for x in row.select("a", "b").first())
+    want = {2 * k + 1 for k in a - b} | {2 * k for k in b - a}
+    alone = row.selectExpr(f"{fingerprints.peel(fingerprints.subtract('sa', 'sb'))} d").first()["d"]
+    if len(want) > 3 * fingerprints.SIDE:
+        assert alone is None
+    for x in (alone, row.selectExpr(f"{fingerprints.compared('a', 'b', 'sa', 'sb')} d").first()["d"]):
+        assert x is None or (len(x), set(x)) == (len(want), want)
+
+
+def test_failed_sketches_are_split(spark, monkeypatch):
+    """With room for a few digests only, later levels have to find the rest, and set difference what even they leave."""
+    monkeypatch.setattr(fingerprints, "LARGE", 16)
+    monkeypatch.setattr(fingerprints, "LOAD", 120)
+    row = spark.range(1).selectExpr("transform(sequence(1, 500), x -> xxhash64(x) & 4611686018427387903L) a", "transform(sequence(450, 900), x -> xxhash64(x) & 4611686018427387903L) b").cache()
+    a, b = (set(x) for x in row.first())
+    assert row.selectExpr(f"{fingerprints.peel(fingerprints.subtract(fingerprints.sketch('a', 1), fingerprints.sketch('b', 1)), 1)} d").first()["d"] is None
+    found = row.selectExpr(f"{fingerprints.difference('a', 'b')} d").first()["d"]
+    assert sorted(found) == sorted([2 * k + 1 for k in a - b] + [2 * k for k in b - a])
+
+
+def test_edits_are_told_by_their_digests(spark):
+    line = lambda c: " ".join(f"{c}{k} " + "word " * 12 + "." for k in range(6))
+    rows = spark.createDataFrame([(2, line("a"), "en", "a", 1), (1, line("b"), "en", "a", 1)], DOCS)
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(rows, digests_of_edits=True).collect()}
+    assert all(2 <= len(r["removed"]) <= 4 and 2 <= len(r["added"]) <= 4 for r in found.values())
+    same = spark.createDataFrame([(k, line("a"), "en", "a", 1) for k in range(3)], DOCS)
+    assert all(r["near_next"] == 1 for r in fingerprints.fingerprints(same).collect())
 
 
 @pytest.mark.parametrize("tile", [16, 8192])
