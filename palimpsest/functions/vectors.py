@@ -59,10 +59,11 @@ def nicdm(a: Column, b: Column, mean_a: Column, mean_b: Column) -> Column:
     return 1 - near * near / 2
 
 
-def apsynp(ranks_a: Column, ranks_b: Column, dims: int, p: float = 0.1) -> Column:
-    """Inverse mean ranks, scaled to 0..1 between the least and the greatest value that dims ranks can give."""
-    most = sum(i**-p for i in range(1, dims + 1))
-    least = dims * ((1 + dims) / 2) ** -p
+def apsynp(ranks_a: Column, ranks_b: Column, p: float = 0.1) -> Column:
+    """Inverse mean ranks, scaled to 0..1 between the least and the greatest value that so many ranks can give."""
+    dims = F.size(ranks_a)
+    most = total(F.transform(F.sequence(F.lit(1), dims), lambda i: F.pow(i.cast("double"), F.lit(-p))))
+    least = dims * F.pow((1 + dims) / 2, F.lit(-p))
     raw = total(F.zip_with(ranks_a, ranks_b, lambda x, y: 2.0 / (F.pow(x.cast("double"), F.lit(p)) + F.pow(y.cast("double"), F.lit(p)))))
     return (raw - least) / (most - least)
 
@@ -83,7 +84,7 @@ MEASURES = {
     "p-norm": lambda: p_norm(F.col("a"), F.col("b")),
     "maximum": lambda: F.greatest(cosine(F.col("a"), F.col("b")), p_norm(F.col("a"), F.col("b"))),
     "nicdm": lambda: nicdm(F.col("a"), F.col("b"), F.col("mean_a"), F.col("mean_b")),
-    "apsynp": lambda: apsynp(F.col("ranks_a"), F.col("ranks_b"), 64),
+    "apsynp": lambda: apsynp(F.col("ranks_a"), F.col("ranks_b")),
 }
 
 

@@ -71,16 +71,28 @@ def document_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def embedded_vocabulary(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(token, vec_id, raw): the r-th most frequent token has the vector with the r-th smallest id, from 0.
+def numbered(rows: DataFrame, coarse: list[str], order: list, most: DataFrame | None = None) -> DataFrame:
+    """rows with ``r``, their place from 0 on, in the order of the coarse columns and of ``order`` among equal ones.
 
-    Only as many tokens as there are vectors are sorted (a top-k), and the vectors' table is the bound.
+    Counts of the coarse columns tell where each group begins, and a window numbers the rows of a group, so no task sorts
+    all. With most(n), groups that begin at n or later are left out.
     """
-    n = vectors.count()
-    top = vocabulary(docs).orderBy(F.desc("n"), "token").limit(n)
-    top = top.withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "token")) - 1)
-    numbered = vectors.withColumn("r", F.row_number().over(W.orderBy("vec_id")) - 1)
-    return top.join(numbered.select("r", "vec_id", "embedding"), "r").select("token", "n", "idf", "vec_id", F.col("embedding").alias("raw"))
+    counts = rows.groupBy(*coarse).agg(F.count(F.lit(1)).alias("_c"))
+    before = W.orderBy(*coarse).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*coarse, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    if most is not None:
+        starts = starts.crossJoin(F.broadcast(most)).where("_start < n").drop("n")  # one row
+    inside = W.partitionBy(*coarse).orderBy(*order)
+    return rows.join(starts, coarse).withColumn("r", F.col("_start") + F.row_number().over(inside) - 1).drop("_start")
+
+
+def embedded_vocabulary(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(token, n, idf, vec_id, raw): the r-th most frequent token has the vector with the r-th smallest id, from 0."""
+    words = vocabulary(docs).withColumns({"_less": -F.col("n"), "_head": F.substring("token", 1, 2)})
+    words = numbered(words, ["_less", "_head"], ["token"], vectors.agg(F.count(F.lit(1)).alias("n")))
+    own = vectors.withColumn("_block", F.shiftright("vec_id", 16))
+    own = numbered(own, ["_block"], ["vec_id"])
+    return words.join(own.select("r", "vec_id", "embedding"), "r").select("token", "n", "idf", "vec_id", F.col("embedding").alias("raw"))
 
 
 def determiner_filter(found: DataFrame) -> DataFrame:
@@ -114,7 +126,7 @@ def resolve(wanted: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_quotes(quotes: DataFrame, found: DataFrame) -> DataFrame:
     """quotes(quote_id, quote) to the sentences that hold them.
 
-    A quote can only stand in a sentence that has its rarest long word, so the join is on that word and the
+    A quote can only stand in a sentence that has its longest word, so the join is on that word and the
     containment test runs on those rows alone.
     """
     q = quotes.select("quote_id", T.normalised(F.col("quote")).alias("quote")).where("quote <> ''")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as V
 
+LEFT = 8192
+RIGHT = 32768
+
 
 def normalised(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec at length 1; a zero vector stays zero."""
@@ -29,20 +34,73 @@ def component_ranks(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("ranks", F.transform(by_place, lambda p: p["r"]))
 
 
-def neighbour_means(rows: DataFrame, k: int = 100, key: str = "vec_id", vector: str = "vec") -> DataFrame:
-    """(key, j, mean): running sums of the distances to the j + 1 nearest, divided by max(j, 1).
+def nearest(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "vec") -> DataFrame:
+    """(key, other, d): for each vector its k nearest by Euclidean distance, ties by the other's key.
 
-    The table of word vectors is small by nature and joins itself once, offline; each side keeps its k nearest only.
+    Blocks of LEFT rows meet blocks of RIGHT rows as matrix products, each pair of blocks in a task of its own that lets
+    out k rows for each left one; those that are left are measured again by their differences.
     """
-    a = rows.select(F.col(key), F.col(vector).alias("a"))
-    b = rows.select(F.col(key).alias("other"), F.col(vector).alias("b"))
-    pairs = a.join(b, F.col(key) != F.col("other")).select(key, "other", V.distance(F.col("a"), F.col("b")).alias("d"))
+    n = rows.count()
+    lefts, rights = max(1, -(-n // LEFT)), max(1, -(-n // RIGHT))
+    kind = dict(rows.dtypes)[key]
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
+    key_column, key = key, "key"
+    a = own.select(deal(lefts).alias("i"), every(rights).alias("j"), F.lit(True).alias("asks"), "key", "vec")
+    b = own.select(every(lefts).alias("i"), deal(rights).alias("j"), F.lit(False).alias("asks"), "key", "vec")
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        asks = block["asks"].to_numpy()
+        keys, vectors = block["key"].to_numpy(), np.array(block["vec"].to_list())
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        right = right[np.argsort(keys[right], kind="stable")]
+        out = []
+        length = (vectors[right] ** 2).sum(axis=1)
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            d = (vectors[own] ** 2).sum(axis=1)[:, None] + length[None] - 2 * vectors[own] @ vectors[right].T
+            d[keys[own][:, None] == keys[right][None]] = np.inf
+            # some more than k, since products round
+            most = min(len(right), k + 8)
+            near = np.argpartition(d, most - 1, axis=1)[:, :most] if most else np.zeros((len(own), 0), int)
+            for x, places in zip(own, near, strict=True):
+                places = right[places[keys[right[places]] != keys[x]]]
+                exact = np.sqrt(((vectors[places] - vectors[x]) ** 2).sum(axis=1))
+                order = np.lexsort([keys[places], exact])[:k]
+                out.append(pd.DataFrame({"key": keys[x], "other": keys[places[order]], "d": exact[order]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"key": [], "other": [], "d": []})
+
+    found = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, f"key {kind}, other {kind}, d double")
+    place = F.row_number().over(W.partitionBy("key").orderBy("d", "other"))
+    return found.withColumn("_n", place).where(F.col("_n") <= k).select(F.col("key").alias(key_column), "other", "d")
+
+
+def neighbour_means(rows: DataFrame, k: int = 100, key: str = "vec_id", vector: str = "vec") -> DataFrame:
+    """(key, j, mean): running sums of the distances to the j + 1 nearest, divided by max(j, 1)."""
     near = W.partitionBy(key).orderBy("d", "other")
-    best = pairs.withColumn("j", F.row_number().over(near) - 1).where(F.col("j") < k)
+    best = nearest(rows, k, key, vector).withColumn("j", F.row_number().over(near) - 1)
     mean = F.sum("d").over(near.rowsBetween(W.unboundedPreceding, 0)) / F.greatest("j", F.lit(1))
     return best.select(key, "j", mean.alias("mean"))
 
 
-def percentiles(values: DataFrame, column: str, n: int = 1001) -> list[float]:
-    """n order statistics of a column: those at (i * (rows - 1)) div (n - 1)."""
-    return values.agg(F.percentile_approx(column, [i / (n - 1) for i in range(n)], 100_000)).first()[0]
+def percentiles(values: DataFrame, column: str, n: int = 1001, places: int = 3) -> DataFrame:
+    """(part, value): the n order statistics at (i * (rows - 1)) div (n - 1), exactly.
+
+    Ranks come from counts of equal values, and where a value stands from sums by coarse values (rounded down to so many
+    decimal places), so no sort sees all rows.
+    """
+    counts = values.groupBy(F.col(column).alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    coarse = F.floor(F.col("s") * 10**places).alias("g")
+    sums = counts.groupBy(coarse).agg(F.sum("c").alias("gc"))
+    before = F.coalesce(F.sum("gc").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("g", before.alias("base"), F.sum("gc").over(W.partitionBy(F.lit(1))).alias("n"))
+    inside = W.partitionBy("g").orderBy("s")
+    ranked = counts.withColumn("g", coarse).join(sums, "g")
+    ranked = ranked.withColumn("end", F.col("base") + F.sum("c").over(inside)).withColumn("start", F.col("end") - F.col("c"))
+    # part k stands at row (n - 1) * k div parts: those that fall into start..end - 1
+    low = F.expr(f"CAST(ceil(start * {n - 1}.0D / greatest(n - 1, 1)) AS LONG) - 1")
+    high = F.expr(f"CAST(ceil(end * {n - 1}.0D / greatest(n - 1, 1)) AS LONG) + 1")
+    ks = F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1)))).alias("part")
+    at = F.expr(f"((n - 1) * part) div {n - 1}")
+    return ranked.select("s", "start", "end", "n", ks).where((at >= F.col("start")) & (at < F.col("end"))).select("part", F.col("s").alias("value"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as V
 from palimpsest.operators import corpus, embeddings, evaluate, regions, similarity
+from palimpsest.plans import evaluation
 from palimpsest.plans import search as S
 from palimpsest.sources import readers
 from palimpsest.streaming import incremental
@@ -282,19 +283,9 @@ def apsynp(spark, d):
 SELECT (i * 10) // (n - 1) AS part, s AS value FROM o WHERE i IN (SELECT ((n - 1) * k) // 10 FROM range(11) t(k)) AND (i * 10) // (n - 1) >= 0
 QUALIFY row_number() OVER (PARTITION BY i ORDER BY s) = 1""")
 def percentiles(spark, d):
-    """Eleven order statistics of the pair similarities, exactly: ranks from counts of values, not from one sort of the rows."""
+    """Eleven order statistics of the pair similarities."""
     s = pairs(spark, d).select(six(V.cosine(F.col("a"), F.col("b"))).alias("s"))
-    counts = s.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    coarse = counts.groupBy(F.floor(F.col("s") * 1000).alias("g")).agg(F.sum("c").alias("gc"))
-    before = F.coalesce(F.sum("gc").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    coarse = coarse.select("g", before.alias("base"), F.sum("gc").over(W.partitionBy(F.lit(1))).alias("n"))
-    inside = W.partitionBy("g").orderBy("s")
-    ranked = counts.withColumn("g", F.floor(F.col("s") * 1000)).join(coarse, "g")
-    ranked = ranked.withColumn("end", F.col("base") + F.sum("c").over(inside)).withColumn("start", F.col("end") - F.col("c"))
-    k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(11)])).alias("k")
-    at = F.expr("((n - 1) * k) div 10")
-    hit = ranked.select("*", k).withColumn("i", at).where("i >= start AND i < end")
-    return hit.select(F.expr("(i * 10) div (n - 1)").alias("part"), F.col("s").alias("value"))
+    return embeddings.percentiles(s, "s", 11)
 
 
 @query(PAIRS + """, t AS (SELECT list_transform(range(0, 11), lambda k: k / 10.0::DOUBLE) AS pc), s AS (SELECT q, vec_id, list_dot_product(a, b) AS s, pc FROM p, t)
@@ -305,9 +296,9 @@ def ranked_measure(spark, d):
 
 
 def engine_vocabulary(spark, d) -> DataFrame:
-    """At most as many rows as there are word vectors; kept, since a search reads it for both sides of the matrix."""
+    """At most as many rows as there are word vectors."""
     rows = embeddings.loaded(corpus.embedded_vocabulary(docs(spark, d), table(spark, d, "embeddings")), "raw")
-    return rows.select("token", "idf", "vec").persist()
+    return rows.select("token", "idf", "vec")
 
 
 def one_needle(spark, d, words: int = 6) -> DataFrame:
@@ -371,7 +362,7 @@ def pos_weighting(spark, d):
 SELECT token, pos, t_pos, CASE WHEN pos = t_pos THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM p, (SELECT unnest(['DET', 'NOUN']) AS t_pos)""")
 def pos_mismatch(spark, d):
     rows = corpus.tokens(docs(spark, d)).select("token", "pos").distinct().select("*", F.explode(F.array(F.lit("DET"), F.lit("NOUN"))).alias("t_pos"))
-    return rows.withColumn("weight", F.when(F.col("pos") == F.col("t_pos"), 1.0).otherwise(1.0 * (1 - 0.5)))
+    return rows.withColumn("weight", S.mismatch_weight(F.col("pos"), F.col("t_pos"), F.lit(1.0), 0.5))
 
 
 @query(SENTENCES + """, m AS (SELECT doc_id, max(n_tokens) AS longest FROM sn GROUP BY doc_id)
@@ -382,14 +373,19 @@ def gap_curve(spark, d):
 
 
 @query(SENTENCES + f"""
-SELECT doc_id, sentence_id, sentence_id % 40 - 1 AS book, CASE WHEN sentence_id % 3 = 0 THEN 'par. ' || sentence_id
+SELECT doc_id, sentence_id, sentence_id % 40 - 1 AS book, CASE WHEN sentence_id % 5 = 0 THEN
+    CASE WHEN sentence_id % 40 < 1 THEN 'line ' || sentence_id
+    ELSE coalesce({list(T.NUMERALS)}[sentence_id % 40], (sentence_id % 40)::VARCHAR) || '.' || (sentence_id % 7 + 1) || ', line ' || sentence_id END
+  WHEN sentence_id % 3 = 0 THEN 'par. ' || sentence_id
   WHEN sentence_id % 40 < 1 THEN 'Chapter ' || (sentence_id % 7 + 1) || ', par. ' || sentence_id
   ELSE 'Book ' || (sentence_id % 40 - 1) || ', Chapter ' || (sentence_id % 7 + 1) || ', par. ' || sentence_id END AS place FROM sn""")
 def location_description(spark, d):
+    """Sentences placed as in plays (every fifth), by paragraph alone (every third of the others) and as in novels."""
     i = F.col("sentence_id")
     rows = corpus.sentences(docs(spark, d)).select("doc_id", "sentence_id", (i % 40 - 1).alias("book"))
-    chapter = F.when(i % 3 == 0, -1).otherwise(i % 7 + 1)
-    return rows.select("doc_id", "sentence_id", "book", T.location(F.col("book"), chapter, F.lit(-1), i).alias("place"))
+    speaker = F.when(i % 5 == 0, 1).otherwise(-1)
+    chapter = F.when((i % 3 == 0) & (speaker < 0), -1).otherwise(i % 7 + 1)
+    return rows.select("doc_id", "sentence_id", "book", T.location(F.col("book"), chapter, speaker, i).alias("place"))
 
 
 SCRIPT = """
@@ -549,7 +545,10 @@ def chosen(spark, d) -> DataFrame:
 
 def corpus_search(spark, d, options: S.Options, queries: DataFrame | None = None) -> DataFrame:
     queries = chosen(spark, d) if queries is None else queries
-    return S.search_corpus(docs(spark, d), engine_vocabulary(spark, d), queries, options)
+    vocabulary = engine_vocabulary(spark, d).persist()  # read for both sides of the matrix, for the table alone
+    found = S.search_corpus(docs(spark, d), vocabulary, queries, options)
+    vocabulary.unpersist()
+    return found
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -641,6 +640,55 @@ def search_mixed(spark, d):
     return corpus_search(spark, d, options).select("metric_no", "query_id", "place", "doc_id", "sentence_id", six("score").alias("score"))
 
 
+MEASURES = [{"type": "average_precision", "n": 100}, {"type": "discounted_cumulative_gain", "n": 20}, {"type": "precision_at_k", "k": 10}, {"type": "r_precision"}]
+THRESHOLDS = [0.11, 0.6]
+
+
+def shared_words(spark, d, least: int = 4) -> DataFrame:
+    """A truth for the needles: sentences that have at least so many of a needle's different words."""
+    own = S.needles(chosen(spark, d), FULL).select("query_id", F.col("t_token").alias("token")).distinct()
+    words = corpus.sentences(docs(spark, d)).select("doc_id", "sentence_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    counts = words.join(own, "token").groupBy("query_id", "doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= least).drop("n")
+
+
+def evaluated(spark, d) -> DataFrame:
+    vocabulary = engine_vocabulary(spark, d).persist()
+    values = {"similarity_threshold": THRESHOLDS, "pos_mismatch_penalty": [0.5]}
+    rows = evaluation.run_grid(docs(spark, d), vocabulary, chosen(spark, d), shared_words(spark, d), values, MEASURES)
+    vocabulary.unpersist()
+    return rows
+
+
+EVALUATED_SQL = (
+    " UNION ALL ".join(f"SELECT {t}::DOUBLE AS similarity_threshold, * FROM ({search_sql(COSINE_SQL, threshold=t)} SELECT query_id, place AS rank, doc_id, sentence_id FROM top)" for t in THRESHOLDS)
+)
+EVALUATED_SQL = f"""WITH found AS ({EVALUATED_SQL}),
+truth AS ({SENTENCES}{NEEDLES}, own AS (SELECT DISTINCT query_id, unnest(words) AS token FROM nl WHERE (query_id // 1000) % 100 = 0),
+  w AS (SELECT DISTINCT doc_id, sentence_id, unnest(tokens) AS token FROM sn)
+  SELECT query_id, doc_id, sentence_id FROM w JOIN own USING (token) GROUP BY ALL HAVING count(*) >= 4),
+n AS (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id),
+j AS (SELECT f.similarity_threshold, f.query_id, f.rank, (t.doc_id IS NOT NULL)::INT AS rel FROM found f LEFT JOIN truth t USING (query_id, doc_id, sentence_id)),
+c AS (SELECT *, sum(rel) OVER (PARTITION BY similarity_threshold, query_id ORDER BY rank) AS cumrel FROM j JOIN n USING (query_id)),
+m AS (SELECT similarity_threshold, query_id, coalesce(sum(rel * cumrel / rank) / any_value(n), 0) AS "ap@100", coalesce(sum(rel / log2(rank + 1)) FILTER (rank <= 20), 0) AS "dcg@20",
+  coalesce(sum(rel) FILTER (rank <= 10), 0) / 10 AS "precision_at_k@10", coalesce(sum(rel) FILTER (rank <= n), 0) / any_value(n) AS r_precision FROM c GROUP BY similarity_threshold, query_id),
+e AS (SELECT t.similarity_threshold, n.query_id, coalesce("ap@100", 0) AS "ap@100", coalesce("dcg@20", 0) AS "dcg@20", coalesce("precision_at_k@10", 0) AS "precision_at_k@10", coalesce(r_precision, 0) AS r_precision
+  FROM n CROSS JOIN (SELECT unnest({THRESHOLDS})::DOUBLE AS similarity_threshold) t LEFT JOIN m USING (similarity_threshold, query_id)),
+v AS (UNPIVOT e ON "ap@100", "dcg@20", "precision_at_k@10", r_precision INTO NAME measure VALUE value)"""
+
+
+@query(EVALUATED_SQL + " SELECT similarity_threshold, query_id, measure, round(value, 6) AS value FROM v")
+def evaluation_grid(spark, d):
+    """All needles searched at every point of a grid of options, and what the results are worth."""
+    return evaluated(spark, d).select("similarity_threshold", "query_id", "measure", six("value").alias("value"))
+
+
+@query()
+def evaluation_best(spark, d):
+    """The point of the grid with the best mean average precision; tests/test_evaluation.py holds it against plain Python."""
+    return evaluation.best_points(evaluated(spark, d), ["similarity_threshold"], "ap@100").withColumn("value", six("value"))
+
+
 @query()
 def match_regions(spark, d):
     found = corpus_search(spark, d, FULL).where("place <= 10")

@@ -13,11 +13,10 @@ def write_corpus(tokens: DataFrame, sentences: DataFrame, path: str) -> None:
 
 
 def dump(signed: DataFrame, path: str) -> None:
-    """One text block for each sentence, below the signatures of its document and its own."""
+    """One text block for each sentence, below the signatures of its document and its own, documents one after another."""
     block = F.concat(F.col("doc_signature"), F.lit("/"), F.col("signature"), F.lit("\n"), F.col("sentence"), F.lit("\n"))
-    signed.repartition("doc_signature").sortWithinPartitions("doc_signature", "sentence_id").select("doc_signature", block.alias("value")).write.partitionBy(
-        "doc_signature"
-    ).mode("overwrite").text(path)
+    order = ["doc_signature", "sentence_id"]
+    signed.repartitionByRange(*order).sortWithinPartitions(*order).select(block.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_evaluation(rows: DataFrame, path: str) -> None:

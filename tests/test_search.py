@@ -8,6 +8,7 @@ import pytest
 
 from palimpsest.functions import text as T
 from palimpsest.operators import align, corpus
+from palimpsest.plans import contextual
 from palimpsest.plans import search as S
 
 WORDS = ["the", "a", "red", "blue", "fish", "swims", "far", "away", "12", "zebra", "now"]
@@ -139,3 +140,45 @@ def test_no_documents_no_needles(tables):
     assert S.search_corpus(docs.limit(0), vocab, queries).count() == 0
     assert S.search_corpus(docs, vocab, queries.limit(0)).count() == 0
     assert S.search_corpus(docs, vocab.limit(0), queries.where("query_id = 3")).count() > 0
+
+
+@pytest.fixture
+def encoder():
+    def encode(sentences):
+        """Two layers: what a token is, and what stands before it."""
+        out = []
+        for tokens in sentences:
+            own = [[len(t), t.count("e"), 1.0] for t in tokens]
+            before = [[0.0, 0.0, 0.0], *own[:-1]]
+            out.append(np.array([own, before]))
+        return out
+
+    return encode
+
+
+def test_contextual_search(spark, tables, tmp_path, encoder):
+    docs, _, queries = tables
+    sentences = corpus.sentences(docs)
+    contextual.build(sentences, encoder, str(tmp_path / "store"), variants=2)
+    store = spark.read.parquet(str(tmp_path / "store"))
+    assert store.count() == 2 * sentences.count()
+    options = S.Options(min_score=0.3, floor="none", max_matches=10_000)
+    found = {(r["query_id"], r["doc_id"], r["sentence_id"]): r for r in contextual.search(store, queries, encoder, options).collect()}
+    needles = {r["query_id"]: contextual.layer_mean(encoder([WORD.findall(r["query"].lower())])[0]) for r in queries.collect()}
+    want = {}
+    for r in sentences.collect():
+        own = contextual.layer_mean(encoder([r["tokens"]])[0])
+        cost = lambda n: 1e10 if n >= r["max_len_s"] else min(1.0, 1 - 2 ** (-n / 5))  # noqa: B023, E731
+        for query, needle in needles.items():
+            grid = (own @ needle.T).tolist()
+            raw = max(cell(grid, done, u, v, cost) for done in [{}] for u, v in itertools.product(range(len(own)), range(len(needle))))
+            if raw / len(needle) > 0.3:
+                want[query, r["doc_id"], r["sentence_id"]] = raw / len(needle)
+    assert {k: r["score"] for k, r in found.items()} == pytest.approx(want)
+    assert {r["variant"] for r in found.values()} == {0}
+    with pytest.raises(ValueError, match="too many"):
+        contextual.NEEDLE_NUMBERS, kept = 1, contextual.NEEDLE_NUMBERS
+        try:
+            contextual.search(store, queries, encoder)
+        finally:
+            contextual.NEEDLE_NUMBERS = kept
