@@ -82,6 +82,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 256, ridge: flo
 
 
 def fold(doc_id: str = "doc_id"):
+    """Null for a null id, which has no fold and is neither learned from nor held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
@@ -96,7 +97,7 @@ def train(docs: DataFrame, train_rows: int = 3000, landmarks: int = 256) -> Mode
     if not counts:
         return fit([], [])
     each = train_rows / len(counts)
-    scale = 1_000_000
+    scale = 1 << 40
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, int(min(1.0, each / n) * scale)))])
     rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(scale)) < bound[F.col("lang")])
     rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows.select("doc_id", "lang", "text").collect())
@@ -104,7 +105,10 @@ def train(docs: DataFrame, train_rows: int = 3000, landmarks: int = 256) -> Mode
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score. Null texts and texts without a letter are ``und`` with score 0.
+    """docs with lang_pred and score, which replace columns of docs that have these names.
+
+    Null texts and texts without a letter are ``und`` with score 0. Every row, with a repeated or null id or not, is
+    judged by itself and from its text alone. An empty table gives no rows.
 
     ``score`` is the place of the best output between -1 (0) and 1 (1). If nothing could be learned every text is
     ``und``.
@@ -130,10 +134,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     scores[own] = np.clip((out.max(axis=1) + 1) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
 
-    return docs.withColumn("_best", best("text")).select("*", "_best.lang_pred", "_best.score").drop("_best")
+    rows = docs.drop("lang_pred", "score").select(F.struct("*").alias("row"), best("text").alias("best"))
+    return rows.select("row.*", "best.lang_pred", "best.score")
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row of documents; rows with a null id are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs)
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -123,11 +123,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as many times as the mix takes it; the texts are not shuffled."""
+    """docs, with all its columns whatever their names, every row as many times as the mix takes it; no text is shuffled."""
     plan = mixing_plan(units_of(docs), **options)
-    rows = docs.withColumn("skey", source_key()).withColumn("h", unit_hash()).join(plan, "skey")
+    rows = docs.select(F.struct("*").alias("row"), source_key().alias("skey"), unit_hash().alias("h")).join(plan, "skey")
     rows = rows.withColumn("times", times()).where("times > 0")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, times)"))).select(docs.columns)
+    return rows.select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

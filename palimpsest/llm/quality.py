@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 BITS = 18
+CONSTANT = 1 << BITS  # beside the hashed places
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_TOKENS = 500_000
 SAME = np.uint64(0x53414D45)
@@ -57,7 +58,7 @@ class Features:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         tokens = TOKEN.findall(text)
         if not tokens:
-            return np.zeros(1, np.int64), np.full(1, 0.5)
+            return np.full(1, CONSTANT), np.full(1, 0.5)
         distinct = set(tokens)
         if not distinct <= self.number.keys():
             self.learn(distinct)
@@ -69,7 +70,7 @@ class Features:
         same = np.full(int((plain[:-1] == plain[1:]).sum()), SAME)
         every = np.concatenate([word, form, pairs, forms, same]) * MIX >> np.uint64(64 - BITS)
         indices, counts = np.unique(every.astype(np.int64), return_counts=True)
-        return np.append(indices, 0), np.append(np.sqrt(counts / len(every)), 0.5)
+        return np.append(indices, CONSTANT), np.append(np.sqrt(counts / len(every)), 0.5)
 
 
 def sigmoid(x: float) -> float:
@@ -82,8 +83,8 @@ def train_ftrl(
     """Weights after passes over the rows in shuffled orders; per-coordinate step sizes, L1 keeps rare ones at 0."""
     features = Features()
     data = [(*features(text), label) for text, label in rows]
-    z = np.zeros(1 << BITS)
-    n = np.zeros(1 << BITS)
+    z = np.zeros(CONSTANT + 1)
+    n = np.zeros(CONSTANT + 1)
     order = np.random.default_rng(seed)
 
     def weights(i):
@@ -97,25 +98,31 @@ def train_ftrl(
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    return weights(np.arange(1 << BITS)).astype(np.float32)
+    return weights(np.arange(CONSTANT + 1)).astype(np.float32)
 
 
 def fold(doc_id: str = "doc_id"):
+    """Null for a null id, which has no fold and is neither learned from nor held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
+#: A hash modulo this picks samples; no share of rows is too small for it.
+SCALE = 1 << 40
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> np.ndarray:
     """Fit on a sample of about ``train_rows`` labelled rows outside fold 1: those whose hashed ids are below a bound.
 
     The sample is bounded whatever the size of the corpus, and the order of its rows is fixed by doc_id. Labels that
-    are null, or that contradict each other for one doc_id, are left out. With no labels all scores are 0.5.
+    are null, or that contradict each other for one doc_id, are left out; equal ones count once, and every row of a
+    repeated doc_id is learned from. With no labels, or empty tables, all scores are 0.5.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 1)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most"))
     known = known.where("label = _most")
     total = known.count()
     share = min(1.0, train_rows / max(1, total))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < max(1, int(share * SCALE)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known.select("doc_id", "label")), "doc_id").select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
@@ -123,7 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> np.ndar
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """docs with ``score`` and ``predicted``. Empty and null texts have no features but one constant."""
+    """docs with ``score`` and ``predicted``, which replace columns of docs that have these names.
+
+    Empty and null texts have no feature but the constant. Every row, with a repeated or null id or not, is scored by
+    itself and from its text alone. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats whatever the input
 
     @F.pandas_udf("double")
@@ -138,6 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
 
 
 def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of documents; rows with a null id are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, weights).select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted")
+    return score(docs, weights).select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import free, read, saved
 
 GRAM = 16
 BATCH_BYTES = 2 << 20
@@ -114,8 +114,7 @@ class Batch:
 
     def __init__(self, rows: pd.DataFrame, answers: pd.DataFrame, buckets: int, length: int):
         self.rows, self.buckets = rows, buckets
-        ids = rows["doc_id"].to_numpy()
-        self.ids = np.array([NULL_ID if pd.isna(x) else int(x) for x in ids], np.int64)
+        self.ids = rows["_id"].to_numpy()
         self.texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
         told = answers[answers["round"] == 0]
         copies = {(int(i), bytes(d)) for i, d in zip(told["id"], told["blob"], strict=True)}
@@ -228,7 +227,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     """(doc_id, *columns, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for each row.
 
     A null text is empty. Texts shorter than ``length`` lose nothing. Rows of one doc_id are documents of their own
-    that do not count against each other; a null doc_id counts as greater than any other. A span is a maximal run of
+    that do not count against each other; a null doc_id counts as the greatest long. A span is a maximal run of
     removed bytes. kept_text is what is left, read as UTF-8; parts of characters cut apart are left out of it. A text
     is held whole in one task, with about 60 bytes of arrays for each byte. An empty table gives no rows.
     """
@@ -242,20 +241,22 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     per_text = (length - GRAM + 2) / 2
     buckets = max(1, int(total / per_text / NAMES_PER_GROUP))
     digest = F.unhex(F.sha2(text, 256))
-    rows = docs.select("doc_id", text.alias("text"), *columns, digest.alias("digest"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)))
+    own = [F.col(c).alias(f"own_{k}") for k, c in enumerate(columns)]
+    null_id = F.col("doc_id").isNull().alias("_null_id")
+    rows = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).cast("long").alias("_id"), null_id, text.alias("text"), *own, digest.alias("digest"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("_id", "digest"), F.lit(batches)))
     name = f"suffix_{uuid.uuid4().hex}"
     rows.repartition(n_files, "batch").write.bucketBy(n_files, "batch").option("compression", "zstd").saveAsTable(name, format="parquet")
     atexit.register(_drop, spark, name)
     table = spark.table(name)
 
-    ids = table.select("batch", F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "digest")
+    ids = table.select("batch", F.col("_id").alias("id"), "digest")
     firsts = ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     copies = ids.join(firsts, "digest").where("id > least").select("batch", F.lit(0).alias("round"), F.lit(0).cast("long").alias("bucket"), "id", F.col("digest").alias("blob"))
     answers = saved(copies.distinct(), "copies")
 
     def ask(step, schema="bucket long, batch long, blob binary"):
-        own = table.select("batch", "doc_id", "text", "digest").groupBy("batch")
+        own = table.select("batch", "_id", "text", "digest").groupBy("batch")
         return own.cogroup(answers.groupBy("batch")).applyInPandas(step, schema)
 
     def first(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +271,12 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
         _, number, counts = np.unique(names, return_inverse=True, return_counts=True)
         return _answer(rows, 1, (counts[number] > 1).astype("u1"), cuts)
 
-    answers = saved(answers.union(ask(first).groupBy("bucket").applyInPandas(meet_first, ANSWER)), "answers")
+    def told(answers: DataFrame, more: DataFrame) -> DataFrame:
+        both = saved(answers.union(more), "answers")
+        free(answers)
+        return both
+
+    answers = told(answers, ask(first).groupBy("bucket").applyInPandas(meet_first, ANSWER))
 
     def second(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -291,7 +297,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
         values = np.where(several, -1 - lowest, lowest)[number].astype("<i8")
         return _answer(rows, 2, values, cuts // 3)
 
-    answers = saved(answers.union(ask(second).groupBy("bucket").applyInPandas(meet_second, ANSWER)), "answers")
+    answers = told(answers, ask(second).groupBy("bucket").applyInPandas(meet_second, ANSWER))
 
     def third(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -308,7 +314,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
         _, lowest, number = least([windows], doc)
         return _answer(rows, 3, (lowest[number] < doc).astype("u1"), np.cumsum([len(x) for x, _ in parts])[:-1])
 
-    answers = saved(answers.union(ask(third).groupBy("bucket").applyInPandas(meet_third, ANSWER)), "answers")
+    answers = told(answers, ask(third).groupBy("bucket").applyInPandas(meet_third, ANSWER))
     out_columns = ["doc_id", *columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
 
     def last(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -330,9 +336,9 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
                     kept = np.frombuffer(text, np.uint8)[~own].tobytes()
             out.append((len(text), n, spans, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * keep_text))
         made = pd.DataFrame(out, columns=out_columns[1 + len(columns) :])
-        for c in ("doc_id", *columns):
-            made[c] = rows[c].to_numpy()
-        made["doc_id"] = pd.array([None if i == NULL_ID else int(i) for i in batch.ids], dtype="Int64")
+        for k, c in enumerate(columns):
+            made[c] = rows[f"own_{k}"].to_numpy()
+        made["doc_id"] = pd.arrays.IntegerArray(batch.ids.copy(), rows["_null_id"].to_numpy(bool))
         return made[out_columns]
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
