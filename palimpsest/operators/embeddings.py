@@ -85,7 +85,7 @@ def neighbour_means(rows: DataFrame, k: int = 100, key: str = "vec_id", vector:
 
 
 def percentiles(values: DataFrame, column: str, n: int = 1001, places: int = 3) -> DataFrame:
-    """(part, value): the n order statistics at (i * (rows - 1)) div (n - 1), exactly.
+    """(part, value, n): the n order statistics at (part * (rows - 1)) div (n - 1), exactly; the column n is the number of rows.
 
     Ranks come from counts of equal values, and where a value stands from sums by coarse values (rounded down to so many
     decimal places), so no sort sees all rows.
@@ -103,4 +103,4 @@ def percentiles(values: DataFrame, column: str, n: int = 1001, places: int = 3)
     high = F.expr(f"CAST(ceil(end * {n - 1}.0D / greatest(n - 1, 1)) AS LONG) + 1")
     ks = F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1)))).alias("part")
     at = F.expr(f"((n - 1) * part) div {n - 1}")
-    return ranked.select("s", "start", "end", "n", ks).where((at >= F.col("start")) & (at < F.col("end"))).select("part", F.col("s").alias("value"))
+    return ranked.select("s", "start", "end", "n", ks).where((at >= F.col("start")) & (at < F.col("end"))).select("part", F.col("s").alias("value"), "n")

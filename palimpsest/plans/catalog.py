@@ -169,11 +169,11 @@ def needles(spark, d) -> DataFrame:
     return rows.select((F.col("item_id") * 1000 + F.col("no")).alias("query_id"), "query")
 
 
-@query(SENTENCES + NEEDLES + f""", q AS (SELECT query_id, {NORMAL.format('sentence')} AS q FROM nl WHERE len(words) >= 6),
-t AS (SELECT doc_id, sentence_id, {NORMAL.format('sentence')} AS t FROM sn WHERE n_tokens >= 6)
+@query(SENTENCES + NEEDLES + f""", q AS (SELECT query_id, {NORMAL.format('sentence')} AS q FROM nl),
+t AS (SELECT doc_id, sentence_id, {NORMAL.format('sentence')} AS t FROM sn)
 SELECT query_id AS quote_id, doc_id, sentence_id FROM q JOIN t ON contains(' ' || t || ' ', ' ' || q || ' ')""")
 def quote_resolver(spark, d):
-    """Quotes of any length; the counterpart holds those of six words or more, in sentences as long."""
+    """Quotes of any length."""
     quotes = needles(spark, d).select(F.col("query_id").alias("quote_id"), F.col("query").alias("quote"))
     return corpus.resolve_quotes(quotes, corpus.sentences(docs(spark, d)))
 
@@ -285,7 +285,8 @@ QUALIFY row_number() OVER (PARTITION BY i ORDER BY s) = 1""")
 def percentiles(spark, d):
     """Eleven order statistics of the pair similarities."""
     s = pairs(spark, d).select(six(V.cosine(F.col("a"), F.col("b"))).alias("s"))
-    return embeddings.percentiles(s, "s", 11)
+    # as in the files of percentiles, a part is told by where its row stands
+    return embeddings.percentiles(s, "s", 11).select(F.expr("((n - 1) * part) div 10 * 10 div (n - 1)").alias("part"), "value")
 
 
 @query(PAIRS + """, t AS (SELECT list_transform(range(0, 11), lambda k: k / 10.0::DOUBLE) AS pc), s AS (SELECT q, vec_id, list_dot_product(a, b) AS s, pc FROM p, t)
@@ -488,11 +489,11 @@ def merge_dimensions(spark, d):
     return merged.withColumn("a", F.col("a").cast("string"))
 
 
-@query(SENTENCES + NEEDLES + f""", q AS (SELECT query_id, {NORMAL.format('sentence')} AS q FROM nl WHERE len(words) >= 6),
-t AS (SELECT doc_id, {NORMAL.format('sentence')} AS t FROM sn WHERE n_tokens >= 6)
+@query(SENTENCES + NEEDLES + f""", q AS (SELECT query_id, {NORMAL.format('sentence')} AS q FROM nl),
+t AS (SELECT doc_id, {NORMAL.format('sentence')} AS t FROM sn)
 SELECT query_id FROM q WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(' ' || t.t || ' ', ' ' || q.q || ' '))""")
 def unresolved_topics(spark, d):
-    """Quotes of any length; the counterpart holds those of six words or more."""
+    """Quotes of any length that no sentence holds."""
     wanted = needles(spark, d).select("query_id")
     return wanted.join(quote_resolver(spark, d).select(F.col("quote_id").alias("query_id")), "query_id", "left_anti")
 
