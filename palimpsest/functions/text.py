@@ -121,3 +121,8 @@ def gap_penalty(n: Column, cutoff: int, longest: Column) -> Column:
     else:
         cost = F.least(F.lit(1.0), 1 - F.pow(F.lit(2.0), -n / cutoff))
     return F.when(n >= longest, 1e10).otherwise(cost)
+
+
+def penalised(score: Column, n: Column, cutoff: int, longest: Column) -> Column:
+    """A score less the share that n skipped tokens cost, 0 at least."""
+    return score * F.greatest(F.lit(0.0), 1 - gap_penalty(n, cutoff, longest))

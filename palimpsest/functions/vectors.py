@@ -82,6 +82,11 @@ MEASURES = {
     "cosine": lambda: cosine(F.col("a"), F.col("b")),
     "sqrt-cosine": lambda: sqrt_cosine(F.col("a"), F.col("b")),
     "p-norm": lambda: p_norm(F.col("a"), F.col("b")),
+    # Other powers and what scales their distances.
+    "pnorm-2": lambda: p_norm(F.col("a"), F.col("b"), 2.0, 1 / 2),
+    "pnorm-1": lambda: p_norm(F.col("a"), F.col("b"), 1.0, 1.0),
+    "pnorm-0.5": lambda: p_norm(F.col("a"), F.col("b"), 0.5, 1 / 5000),
+    "pnorm-0.1": lambda: p_norm(F.col("a"), F.col("b"), 0.1, 1 / 1000000000),
     "maximum": lambda: F.greatest(cosine(F.col("a"), F.col("b")), p_norm(F.col("a"), F.col("b"))),
     "nicdm": lambda: nicdm(F.col("a"), F.col("b"), F.col("mean_a"), F.col("mean_b")),
     "apsynp": lambda: apsynp(F.col("ranks_a"), F.col("ranks_b")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as V
 
+ASKED = 4096
 LEFT = 8192
 RIGHT = 32768
 
@@ -34,6 +35,23 @@ def component_ranks(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("ranks", F.transform(by_place, lambda p: p["r"]))
 
 
+def against(rows: DataFrame, asked: DataFrame, key: str, other: str, itself: bool = False, n: int | None = None) -> DataFrame:
+    """Every row with every asked one, without those of one key unless ``itself``; n is a known bound of the asked ones.
+
+    Asked rows go to all executors if they are ASKED at most; more of them meet the rows in blocks of that size.
+    """
+    n = asked.count() if n is None else n
+    if n <= ASKED:
+        found = rows.join(F.broadcast(asked), F.lit(True))
+    else:
+        blocks, salts = -(-n // ASKED), 64
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts))).withColumn("_block", every(blocks))
+        right = asked.withColumn("_block", F.pmod(F.xxhash64(other), F.lit(blocks))).withColumn("_salt", every(salts))
+        found = left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
+    return found if itself else found.where(F.col(key) != F.col(other))
+
+
 def nearest(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "vec") -> DataFrame:
     """(key, other, d): for each vector its k nearest by Euclidean distance, ties by the other's key.
 

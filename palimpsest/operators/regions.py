@@ -85,3 +85,17 @@ def _drawn(r: dict, cutoff: int) -> tuple:
         out.append(_text(cut(last, last + CONTEXT)))
     omitted = [t["t_token"] for t, u in zip(r["needle"], r["match"], strict=True) if u < 0]
     return r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], out, omitted
+
+
+def located(found: DataFrame, places: DataFrame, documents: DataFrame) -> DataFrame:
+    """found with ``location``, a struct of speaker, author, work and a description of the place.
+
+    places(doc_id, sentence_id, book, chapter, speaker, location) tells where sentences stand, and
+    documents(doc_id, author, title, speakers) who wrote and who speaks. Only results come here.
+    """
+    at = places.select("doc_id", "sentence_id", "book", "chapter", "speaker", F.col("location").alias("_line"))
+    rows = found.join(at, ["doc_id", "sentence_id"], "left").join(documents.select("doc_id", "author", "title", "speakers"), "doc_id", "left")
+    speaker = F.coalesce(F.try_element_at("speakers", F.col("speaker")), F.lit(""))
+    place = T.location(F.col("book"), F.col("chapter"), F.col("speaker"), F.col("_line"))
+    told = F.struct(speaker.alias("speaker"), "author", F.col("title").alias("work"), place.alias("location"))
+    return rows.withColumn("location", told).drop("book", "chapter", "speaker", "_line", "author", "title", "speakers")

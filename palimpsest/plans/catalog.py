@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as V
 from palimpsest.operators import corpus, embeddings, evaluate, regions, similarity
-from palimpsest.plans import evaluation
+from palimpsest.plans import contextual, evaluation
 from palimpsest.plans import search as S
 from palimpsest.sources import readers
 from palimpsest.streaming import incremental
@@ -195,7 +196,7 @@ def pairs(spark, d, vector: str = "vec") -> DataFrame:
     rows = embeddings.loaded(table(spark, d, "embeddings")).withColumn("u", F.col("embedding").cast("array<double>"))
     left = rows.select("vec_id", F.col(vector).alias("a"))
     right = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col(vector).alias("b"))
-    return left.join(F.broadcast(right), F.col("vec_id") != F.col("q"))
+    return embeddings.against(left, right, "vec_id", "q")
 
 
 PAIRS = VECTORS + ", p AS (SELECT x.vec_id, y.vec_id AS q, x.vec AS a, y.vec AS b, x.c AS ca, y.c AS cb FROM nv x JOIN nv y ON y.vec_id % 100 = 0 AND x.vec_id <> y.vec_id)"
@@ -275,7 +276,7 @@ def apsynp(spark, d):
     rows = embeddings.component_ranks(table(spark, d, "embeddings"))
     left = rows.select("vec_id", F.col("ranks").alias("ranks_a"))
     right = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("ranks").alias("ranks_b"))
-    both = left.join(F.broadcast(right), F.col("vec_id") != F.col("q"))
+    both = embeddings.against(left, right, "vec_id", "q")
     return both.select("q", "vec_id", six(V.measure("apsynp")).alias("similarity"))
 
 
@@ -304,8 +305,8 @@ def engine_vocabulary(spark, d) -> DataFrame:
 
 def one_needle(spark, d, words: int = 6) -> DataFrame:
     """The first words of the corpus' most frequent vocabulary, as a needle that has vectors."""
-    rows = corpus.vocabulary(docs(spark, d)).orderBy(F.desc("n"), "token").limit(words)
-    return rows.select(F.lit(1).cast("long").alias("query_id"), (F.row_number().over(W.orderBy(F.desc("n"), "token")) - 1).alias("t_pos"), F.col("token").alias("t_token"))
+    rows = corpus.vocabulary(docs(spark, d)).orderBy(F.desc("n"), "token").limit(words).collect()
+    return spark.createDataFrame([(1, k, r["token"]) for k, r in enumerate(rows)], "query_id long, t_pos int, t_token string")
 
 
 NEEDLE = VOCAB + ", needle AS (SELECT token AS t_token, r AS t_pos FROM ranked WHERE r < 6), m AS (SELECT e.token, n.t_token, e.idf, list_dot_product(e.vec, t.vec) AS s FROM needle n JOIN ev t ON t.token = n.t_token, ev e)"
@@ -556,11 +557,11 @@ def scored(found: DataFrame) -> DataFrame:
     return found.select("query_id", "place", "doc_id", "sentence_id", six("score").alias("score"))
 
 
-def search_sql(metrics: str, threshold: float = 0.11, mismatch: float = 0.5, weight: str = "1.0", skip: str = "false", both: bool = False) -> str:
+def search_sql(metrics: str, threshold: float = 0.11, mismatch: float = 0.5, weight: str = "1.0", skip: str = "false", both: bool = False, grid: str = "") -> str:
     """A search as SQL, up to ``top`` (m, query_id, place, doc_id, sentence_id, score).
 
-    ``metrics`` selects (m, token, t_token, s) from pairs ``pr`` of vocabulary words and needle tokens nt. An alignment
-    is a fold over the needle's tokens: each adds the column of its cells (one for each token of the sentence).
+    ``metrics`` selects (m, token, t_token, s) from pairs ``pr`` of vocabulary words and needle tokens nt;
+    ``grid`` may give the cells of sentences (gr) in another way. An alignment is a fold over the needle's tokens: each adds the column of its cells (one for each token of the sentence).
     """
     cost = lambda n: f"CASE WHEN {n} >= longest THEN 1e10 ELSE 1 - pow(2.0, -({n}) / 5.0) END"
     v = "x[1][1]::INT"
@@ -570,15 +571,7 @@ def search_sql(metrics: str, threshold: float = 0.11, mismatch: float = 0.5, wei
     raw = f"list_max(flatten(list_reduce(list_transform(range(1, len(g[1]) + 1), lambda v: [[v::DOUBLE]]), lambda cols, x: list_append(cols, {column}), []::DOUBLE[][])))"
     turned = "UNION ALL SELECT m, query_id, total, doc_id, sentence_id, n, longest, list_reverse(list_transform(g, lambda r: list_reverse(r))) FROM gr" if both else ""
     pos = lambda c: POS.replace("token", c)
-    return (
-        VOCAB
-        + NEEDLES
-        + f""",
-w0 AS (SELECT query_id, list_filter(words, lambda token: NOT ({skip})) AS words FROM nl WHERE (query_id // 1000) % 100 = 0),
-nw AS (SELECT query_id, unnest(words) AS token, unnest(range(len(words)))::INT AS v FROM w0),
-nt AS (SELECT query_id, token AS t_token, v, {weight} AS w FROM nw),
-ndt AS (SELECT DISTINCT t_token FROM nt),
-most AS (SELECT max(idf) AS most FROM ev),
+    cells = grid or f"""most AS (SELECT max(idf) AS most FROM ev),
 pr AS (SELECT e.token, t.token AS t_token, e.idf / most AS share, e.vec AS a, t.vec AS b FROM ndt JOIN ev t ON t.token = ndt.t_token, ev e, most WHERE e.token <> t.token),
 near AS ({metrics}),
 sc AS (SELECT m, query_id, token, v, s * (w * CASE WHEN {pos('near.token')} = {pos('nt.t_token')} THEN 1.0 ELSE {mismatch} END) AS score FROM near JOIN nt USING (t_token)),
@@ -588,7 +581,16 @@ ts AS (SELECT m, query_id, token, list(coalesce(score, 0) ORDER BY v) AS l FROM
 zero AS (SELECT m, query_id, list(0.0::DOUBLE ORDER BY v) AS z, sum(w)::DOUBLE AS total FROM nt, (SELECT DISTINCT m FROM near) GROUP BY m, query_id),
 tk AS (SELECT doc_id, sentence_id, n_tokens AS n, max_len_s AS longest, unnest(tokens) AS token, unnest(range(len(tokens))) AS u FROM sn),
 gr AS (SELECT m, query_id, any_value(total) AS total, doc_id, sentence_id, any_value(n) AS n, any_value(longest) AS longest, list(coalesce(l, z) ORDER BY u) AS g
-       FROM tk CROSS JOIN zero LEFT JOIN ts USING (m, query_id, token) GROUP BY m, query_id, doc_id, sentence_id),
+       FROM tk CROSS JOIN zero LEFT JOIN ts USING (m, query_id, token) GROUP BY m, query_id, doc_id, sentence_id),"""
+    return (
+        VOCAB
+        + NEEDLES
+        + f""",
+w0 AS (SELECT query_id, list_filter(words, lambda token: NOT ({skip})) AS words FROM nl WHERE (query_id // 1000) % 100 = 0),
+nw AS (SELECT query_id, unnest(words) AS token, unnest(range(len(words)))::INT AS v FROM w0),
+nt AS (SELECT query_id, token AS t_token, v, {weight} AS w FROM nw),
+ndt AS (SELECT DISTINCT t_token FROM nt),
+{cells}
 ways AS (SELECT m, query_id, total, doc_id, sentence_id, n, longest, g FROM gr {turned}),
 rw AS (SELECT m, query_id, doc_id, sentence_id, max({raw} / total) AS score FROM ways GROUP BY m, query_id, doc_id, sentence_id HAVING max({raw} / total) > 0.2),
 fl AS (SELECT *, first_value(score) OVER w AS f, row_number() OVER w AS fn FROM rw WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY m, sentence_id)),
@@ -621,6 +623,35 @@ def search_bidirectional(spark, d):
     return corpus_search(spark, d, options).select("query_id", "place", "doc_id", "sentence_id", six("score").alias("score"), "match")
 
 
+def shape_encoder(sentences: list[list[str]]) -> list:
+    """An encoder for tests of the plan: one layer for a token's shape, one for that of the token before it."""
+    out = []
+    for tokens in sentences:
+        own = [[len(t), t.count("e"), 1.0] for t in tokens]
+        out.append(np.array([own, [[0.0, 0.0, 0.0], *own[:-1]]]).reshape(2, len(own), 3))
+    return out
+
+
+def _shapes(rows: str, keys: str, at: str) -> str:
+    parts = ["len(token)", "len(token) - len(replace(token, 'e', ''))", "1"]
+    mean = ", ".join(f"(({x}) + coalesce(lag({x}) OVER w, 0)) / 2.0" for x in parts)
+    return f"SELECT *, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS vec FROM (SELECT {keys}, {at}, [{mean}]::DOUBLE[] AS r FROM {rows} WINDOW w AS (PARTITION BY {keys} ORDER BY {at}))"
+
+
+SHAPES_SQL = f"""tk AS (SELECT doc_id, sentence_id, n_tokens AS n, max_len_s AS longest, unnest(tokens) AS token, unnest(range(len(tokens))) AS u FROM sn),
+ov AS ({_shapes("tk", "doc_id, sentence_id, n, longest", "u")}), nv AS ({_shapes("nw", "query_id", "v")}),
+ct AS (SELECT query_id, count(*)::DOUBLE AS total FROM nw GROUP BY query_id),
+rr AS (SELECT query_id, doc_id, sentence_id, n, longest, u, list(list_dot_product(ov.vec, nv.vec) ORDER BY v) AS r FROM ov, nv GROUP BY ALL),
+gr AS (SELECT 0 AS m, query_id, any_value(total) AS total, doc_id, sentence_id, n, longest, list(r ORDER BY u) AS g FROM rr JOIN ct USING (query_id) GROUP BY query_id, doc_id, sentence_id, n, longest),"""
+
+
+@query(search_sql("", grid=SHAPES_SQL) + SCORED)
+def contextual_search(spark, d):
+    """Search by vectors of occurrences, here from an encoder that looks at the shapes of a token and the one before it."""
+    store = contextual.encoded(corpus.sentences(docs(spark, d)).select("doc_id", "sentence_id", "n_tokens", "max_len_s", "tokens"), shape_encoder)
+    return scored(contextual.search(store, chosen(spark, d), shape_encoder))
+
+
 # Both metrics are scaled by idf before words count as wholly similar to themselves, then raised to the falloff. A mix
 # at 0.25 weighs its first metric by 1 and its second by 1/3.
 MIXED_SQL = """

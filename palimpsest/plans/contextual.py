@@ -21,6 +21,7 @@ from palimpsest.plans import search as S
 
 Encoder = Callable[[list[list[str]]], list[np.ndarray]]
 NEEDLE_NUMBERS = 4_000_000
+AT_ONCE = 1024
 
 
 def layer_mean(layers: np.ndarray) -> np.ndarray:
@@ -57,44 +58,83 @@ def best_variant(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-MATCHES = "metric_no int, query_id long, doc_id long, sentence_id int, variant int, raw double, score double, match array<int>, similarities array<double>"
+SCORES = "metric_no int, query_id long, doc_id long, sentence_id int, variant int, score double"
+TRACED = SCORES + ", place int, match array<int>, similarities array<double>"
 
 
-def matches(store: DataFrame, needles: DataFrame, options: S.Options) -> DataFrame:
-    """Every sentence and variant of the store with its alignment, if its score is above the least one.
-
-    needles(query_id, vectors) go to every executor: they are texts that someone asked for, and more numbers than
-    NEEDLE_NUMBERS are refused.
-    """
-    rows = needles.select("query_id", "vectors").collect()
-    asked = {r["query_id"]: np.array(r["vectors"]) for r in rows if r["vectors"]}
+def _needles(needles: DataFrame) -> dict[int, np.ndarray]:
+    """needles(query_id, vectors) go to every executor: they are texts that someone asked for; too many numbers are refused."""
+    asked = {r["query_id"]: np.array(r["vectors"]) for r in needles.select("query_id", "vectors").collect() if r["vectors"]}
     if sum(v.size for v in asked.values()) > NEEDLE_NUMBERS:
         raise ValueError("too many needles for one search: ask for them in parts")
-    shared = store.sparkSession.sparkContext.broadcast(asked)
+    return asked
+
+
+def scores(store: DataFrame, asked: dict[int, np.ndarray], options: S.Options) -> DataFrame:
+    """The score of every sentence and variant for every needle, where it is above the least one."""
+    shared = store.sparkSession.sparkContext.broadcast(asked)  # NEEDLE_NUMBERS at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            sizes = batch["vectors"].map(len).to_numpy()
+            for n in np.unique(sizes[sizes > 0]):
+                for rows in np.array_split(batch.iloc[np.flatnonzero(sizes == n)], -(-int((sizes == n).sum()) // AT_ONCE)):
+                    own = np.stack([np.stack(v) for v in rows["vectors"]])
+                    for query, needle in shared.value.items():
+                        score = _scored(own @ needle.T, rows["max_len_s"].to_numpy(), float(len(needle)), options)
+                        kept = np.flatnonzero(score > options.min_score)
+                        told = rows.iloc[kept]
+                        out.extend(zip(*[[c] * len(kept) for c in (0, query)], told["doc_id"], told["sentence_id"], told["variant"], score[kept].tolist(), strict=True))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
+
+    return store.select("doc_id", "sentence_id", "variant", "max_len_s", "vectors").mapInPandas(run, SCORES)
+
+
+def _costs(near: np.ndarray, longest: np.ndarray, options: S.Options) -> np.ndarray:
+    kinds, which = np.unique(longest, return_inverse=True)
+    return np.stack([align.gap_costs(max(near.shape[1:]) + 1, options.cutoff, m) for m in kinds])[which]
+
+
+def _scored(near: np.ndarray, longest: np.ndarray, total: float, options: S.Options) -> np.ndarray:
+    """Scores of sentences of one length."""
+    costs, lengths = _costs(near, longest, options), np.full(len(near), near.shape[1])
+    if options.submatch_weight:
+        return np.array([_traced(near[k : k + 1], costs[k : k + 1], total, options)[0] for k in range(len(near))])
+    raw = align.raw_scores(near, lengths, costs)
+    if options.bidirectional:
+        raw = np.maximum(raw, align.raw_scores(align.turned(near, lengths), lengths, costs))
+    return raw / total
+
+
+def _traced(near: np.ndarray, costs: np.ndarray, total: float, options: S.Options) -> tuple[float, list[int]]:
     both = align.align_both_ways if options.bidirectional else align.align
+    raw, (match,) = both(near, np.array([near.shape[1]]), costs)
+    return float(raw[0]) / align.reference_score(total, float(sum(u >= 0 for u in match)), options.submatch_weight), match
+
+
+def traced(found: DataFrame, store: DataFrame, asked: dict[int, np.ndarray], options: S.Options) -> DataFrame:
+    """found with match and similarities; only results come here."""
+    rows = store.join(F.broadcast(found), ["doc_id", "sentence_id", "variant"])  # max_matches rows a needle at most
+    shared = store.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                own = np.array([np.asarray(v) for v in r.vectors])
-                if not len(own):
-                    continue
-                for query, needle in shared.value.items():
-                    near = own @ needle.T
-                    costs = align.gap_costs(max(near.shape) + 1, options.cutoff, r.max_len_s)[None]
-                    raw, (match,) = both(near[None], np.array([len(own)]), costs)
-                    total = float(len(needle))
-                    full = align.reference_score(total, float(sum(u >= 0 for u in match)), options.submatch_weight)
-                    if raw[0] / full > options.min_score:
-                        told = [float(near[u, v]) if u >= 0 else 0.0 for v, u in enumerate(match)]
-                        out.append((0, query, r.doc_id, r.sentence_id, r.variant, float(raw[0]), float(raw[0]) / full, match, told))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCHES.split(", ")])
-
-    return store.select("doc_id", "sentence_id", "variant", "max_len_s", "vectors").mapInPandas(run, MATCHES)
+                needle = shared.value[r.query_id]
+                near = (np.stack(r.vectors) @ needle.T)[None]
+                costs = align.gap_costs(max(near.shape) + 1, options.cutoff, r.max_len_s)[None]
+                match = _traced(near, costs, float(len(needle)), options)[1]
+                told = [float(near[0, u, v]) if u >= 0 else 0.0 for v, u in enumerate(match)]
+                out.append((0, r.query_id, r.doc_id, r.sentence_id, r.variant, r.score, r.place, match, told))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in TRACED.split(", ")])
+
+    return rows.select("query_id", "doc_id", "sentence_id", "variant", "score", "place", "max_len_s", "vectors").mapInPandas(run, TRACED)
 
 
 def search(store: DataFrame, queries: DataFrame, encoder: Encoder, options: S.Options = S.Options()) -> DataFrame:
     """queries(query_id, query) against a store: the best sentences of each, with place from 1."""
-    asked = queries.select("query_id", T.token_array(F.col("query")).alias("tokens"))
-    return S.best(best_variant(matches(store, encoded(asked, encoder), options)), options)
+    tokens = queries.select("query_id", T.token_array(F.col("query")).alias("tokens"))
+    asked = _needles(encoded(tokens, encoder))
+    return traced(S.best(best_variant(scores(store, asked, options)), options), store, asked, options)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,16 +38,24 @@ def word_vector_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numpy_matrix(spark: SparkSession, matrix_path: str, words_path: str) -> DataFrame:
-    """(token, embedding) from two .npy files, read through Spark so that any store will do."""
-    import io
+    """(token, embedding) from two .npy files, read through Spark so that any store will do, in one executor's task.
 
-    import numpy as np
-
-    def load(path: str):
-        return np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"])), allow_pickle=False)
+    A file is one record, so it can have 2 GB at most; the rows are then dealt out by token.
+    """
 
-    words = load(words_path)
-    return spark.createDataFrame(pd.DataFrame({"token": words.astype(str), "embedding": list(load(matrix_path).astype("float32"))}), "token string, embedding array<float>")
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = {}
+        for batch in batches:
+            for is_words, content in zip(batch["is_words"], batch["content"], strict=True):
+                arrays[bool(is_words)] = np.load(io.BytesIO(content), allow_pickle=False)
+        if arrays:
+            words, matrix = arrays[True].astype(str), arrays[False].astype("float32")
+            for at in range(0, len(words), 10_000):
+                yield pd.DataFrame({"token": words[at : at + 10_000], "embedding": list(matrix[at : at + 10_000])})
+
+    files = lambda path, words: spark.read.format("binaryFile").load(path).select(F.lit(words).alias("is_words"), "content")
+    both = files(matrix_path, False).union(files(words_path, True)).coalesce(1)
+    return both.mapInPandas(parse, "token string, embedding array<float>").repartition("token")
 
 
 # How chapters are announced.

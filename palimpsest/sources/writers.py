@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_corpus(tokens: DataFrame, sentences: DataFrame, path: str) -> None:
-    """Both tables, once; an existing corpus stays."""
-    tokens.write.mode("ignore").parquet(f"{path}/tokens.parquet")
-    sentences.write.mode("ignore").parquet(f"{path}/sentences.parquet")
+def write_corpus(tokens: DataFrame, sentences: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """The tables of a corpus, once; what is there stays. documents has texts and metadata."""
+    for name, rows in (("tokens", tokens), ("sentences", sentences), ("documents", documents)):
+        if rows is not None:
+            rows.write.mode("ignore").parquet(f"{path}/{name}.parquet")
 
 
 def dump(signed: DataFrame, path: str) -> None:
@@ -20,7 +21,8 @@ def dump(signed: DataFrame, path: str) -> None:
 
 
 def write_evaluation(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path, sep=";")
+    """Semicolons between columns; a value that has not been computed is -1."""
+    rows.fillna(-1.0, ["value"]).write.mode("overwrite").option("header", True).csv(path, sep=";")
 
 
 def results_json(found: DataFrame) -> DataFrame:

@@ -249,8 +249,112 @@ def test_streams(spark, tmp_path):
     docs.repartition(4).write.parquet(str(tmp_path / "docs"))
     stream = incremental.document_stream(spark, str(tmp_path / "docs"), 1)
     search = lambda d: d.select(F.lit(1).alias("query_id"), "doc_id", F.lit(0).alias("sentence_id"), F.col("doc_id").cast("double").alias("score"))
-    incremental.progressive_search(stream, search, str(tmp_path / "top"), str(tmp_path / "c1"), 5).awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "top").iterdir())
+    incremental.progressive_search(stream, search, str(tmp_path / "top"), str(tmp_path / "c1"), 5, 60).awaitTermination()
+    last = max(int(p.name) for p in (tmp_path / "top").iterdir() if p.name.isdigit())
+    assert spark.read.json(str(tmp_path / "top-progress" / str(last))).first()["progress"] == 1.0
+    assert 0 < spark.read.json(str(tmp_path / "top-progress" / "0")).first()["done"] < 60
     assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "top" / str(last))).collect()} == {15, 16, 17, 18, 19}
     incremental.ingest(incremental.document_stream(spark, str(tmp_path / "docs")), corpus.sentences, str(tmp_path / "s"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s")).count() == 20
+
+
+def test_abort_and_begin(spark):
+    import threading
+    import time
+
+    stopped = []
+
+    def waiting(batches):
+        time.sleep(40)
+        yield from batches
+
+    def slow():
+        incremental.begin(spark, "someone")
+        try:
+            spark.range(2, numPartitions=2).mapInPandas(waiting, "id long").collect()
+        except Exception as e:
+            stopped.append(e)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    time.sleep(5)
+    began = time.time()
+    incremental.abort(spark, "someone")
+    thread.join(60)
+    assert time.time() - began < 25
+    assert stopped
+
+
+def test_measures_by_name(spark):
+    row = spark.createDataFrame([([0.6, 0.8], [1.0, 0.0])], "a array<double>, b array<double>")
+    value = lambda name: row.select(V.measure(name).alias("x")).first()["x"]
+    assert value("pnorm-2") == value("p-norm") == pytest.approx(1 - (0.16 + 0.64) ** 0.5 / 2)
+    assert value("pnorm-1") == 0
+    assert value("pnorm-0.5") == pytest.approx(1 - (0.4**0.5 + 0.8**0.5) ** 2 / 5000)
+    assert column(spark, V.apsynp(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(2)))) == pytest.approx(1)
+    assert column(spark, V.clipped(F.array(F.lit(-1.0), F.lit(0.5), F.lit(2.0)))) == [0, 0.5, 1]
+
+
+def test_other_taggers(spark, small):
+    tagger = S.Tagger.of({"red": ("ADJ", "JJ"), "blue": ("ADJ", "JJ"), "swim": ("VERB", "VB")})
+    queries = spark.createDataFrame([(1, "red the swim")], "query_id long, query string")
+    rows = {r["t_token"]: (r["pos"], r["tag"], r["weight"]) for r in S.needles(queries, S.Options(tagger=tagger, pos_weights={"VB": 1.2})).collect()}
+    assert rows == {"red": ("ADJ", "JJ", 1.0), "the": ("NOUN", "NN", 1.0), "swim": ("VERB", "VB", 1.2)}
+    score = lambda **o: S.search(*small, spark.createDataFrame([(1, "blue")], "query_id long, query string"), S.Options(pos_mismatch_penalty=1.0, **o)).where("doc_id = 2").first()["score"]
+    assert score() == pytest.approx(0.8)
+    assert score(tagger=S.Tagger.of({"blue": ("NOUN", "NN"), "red": ("ADJ", "JJ")})) == 0.5
+
+
+def test_located_results(spark):
+    found = spark.createDataFrame([(1, 7, 0, 0.9), (1, 8, 3, 0.8)], "query_id long, doc_id long, sentence_id int, score double")
+    places = spark.createDataFrame([(7, 0, 2, 3, 1, 44), (8, 3, -1, 5, -1, 6)], readers.SENTENCES.replace("n_tokens int", "x int").replace("book", "sentence_id int, book").replace(", x int", ""))
+    documents = spark.createDataFrame([(7, "Poet", "Play", {1: "HAM"}), (8, "Writer", "Novel", {})], "doc_id long, author string, title string, speakers map<int,string>")
+    rows = {r["doc_id"]: tuple(r["location"]) for r in regions.located(found, places, documents).collect()}
+    assert rows == {7: ("HAM", "Poet", "Play", "III.3, line 44"), 8: ("", "Writer", "Novel", "Chapter 5, par. 6")}
+
+
+def test_one_row_for_a_sentence(spark):
+    found = spark.createDataFrame([(1, 7, 0, 0, 0.5, [0]), (1, 7, 0, 1, 0.9, [1]), (1, 7, 1, 0, 0.5, [0]), (1, 7, 1, 1, 0.5, [1])], "query_id long, doc_id long, sentence_id int, metric_no int, score double, match array<int>")
+    assert [(r["sentence_id"], r["metric_no"]) for r in S.distinct_sentences(found).orderBy(S.MATCH_ORDER).collect()] == [(0, 1), (1, 0)]
+    assert column(spark, T.penalised(F.lit(0.8), F.lit(5), 5, F.lit(9))) == pytest.approx(0.4)
+
+
+def test_settings(tmp_path):
+    from palimpsest import settings
+
+    assert settings.load().embeddings == ["fasttext"]
+    path = tmp_path / "s.json"
+    path.write_text('{"metrics": ["nicdm"], "embeddings": ["a"], "fasttext": "f", "more": 1}')
+    assert settings.load(str(path)) == (["nicdm"], ["a"], "f")
+    path.write_text('{"metrics": []}')
+    with pytest.raises(KeyError, match="embeddings"):
+        settings.load(str(path))
+
+
+def test_stored_tables(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "m.npy", np.array([[1, 2], [3, 4]], "float64"))
+    np.save(tmp_path / "w.npy", np.array(["cat", "dog"]))
+    rows = readers.numpy_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / "w.npy")).collect()
+    assert {r["token"]: r["embedding"] for r in rows} == {"cat": [1, 2], "dog": [3, 4]}
+    spark.createDataFrame([("cat", 1.0, 2.0)], "token string, v0 float, v1 float").write.parquet(str(tmp_path / "e.parquet"))
+    assert readers.embedding_table(spark, str(tmp_path / "e.parquet")).first()["embedding"] == [1, 2]
+    tokens = spark.createDataFrame([(1, 0, 3, "NOUN", "NN", -1.0)], readers.TOKENS)
+    sentences = spark.createDataFrame([(1, -1, -1, -1, 0, 1)], readers.SENTENCES)
+    writers.write_corpus(tokens, sentences, str(tmp_path / "c"), spark.createDataFrame([(1, "cat", "t")], "doc_id long, text string, title string"))
+    writers.write_corpus(tokens.limit(0), sentences, str(tmp_path / "c"))
+    assert [x.count() for x in readers.corpus_tables(spark, str(tmp_path / "c"))] == [1, 1]
+    assert spark.read.parquet(str(tmp_path / "c" / "documents.parquet")).first()["title"] == "t"
+    writers.write_evaluation(spark.createDataFrame([("a", 0.5), ("b", None)], "p string, value double"), str(tmp_path / "v"))
+    assert sorted(r[0] for r in spark.read.csv(str(tmp_path / "v"), sep=";", header=True).select("value").collect()) == ["-1.0", "0.5"]
+    found = spark.createDataFrame([(1, 1, 7, 0.5)], "query_id long, place int, doc_id long, score double")
+    assert writers.results_json(found).first()["json"] == '{"doc_id":7,"score":0.5}'
+    assert "<td>7</td>" in writers.html_table(found)
+
+
+def test_the_only_difference(spark):
+    a, b = F.array(F.lit(1), F.lit(2), F.lit(None)), F.array(F.lit(1), F.lit(3), F.lit(None))
+    assert column(spark, evaluate.only_difference(a, b)) == 1
+    assert column(spark, evaluate.only_difference(a, a)) is None
+    assert column(spark, evaluate.only_difference(a, F.array(F.lit(0), F.lit(3), F.lit(None)))) is None
