@@ -91,15 +91,16 @@ def _whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
     return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
-def ranked(df: DataFrame, group: str, order: list[str], rows_per_salt: int = 2000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], rows_per_salt: int = 1000, few_groups: bool = False) -> DataFrame:
     """df with ``rank``, 0-based and gapless within each group, without one task for one group.
 
     Each group is dealt by a hash of the order columns into as many salts as its own size asks for; counts by
     (group, salt) give each salt the place where it starts, and a window numbers the rows of a salt. Rows of equal
-    order columns rank in any order. df is read several times, so it should be a stored table.
+    order columns rank in any order. df is read several times, so it should be a stored table. few_groups says that
+    the number of groups is bounded by a parameter, so that their sizes can go to all executors.
     """
     sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).alias("_salts"))
-    dealt = df.join(sizes, group).withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts"))).drop("_salts")
+    dealt = df.join(F.broadcast(sizes) if few_groups else sizes, group).withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts"))).drop("_salts")
     counts = dealt.groupBy(group, "_salt").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(group).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(group, "_salt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))

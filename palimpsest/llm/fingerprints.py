@@ -125,61 +125,70 @@ def written(cells: str) -> str:
     return f"array_join(transform({cells}, x -> concat(lpad(hex(x.c), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 8, '0'))), '')"
 
 
-def _bucket(docs: DataFrame, key: str) -> tuple[Column, int]:
-    """A number that puts keys in order into buckets of about ROWS_PER_BUCKET, and how many buckets a quantile has.
+def _bucket(docs: DataFrame) -> tuple[Column, int]:
+    """A number that puts rows (o, th) in ascending order of o into buckets of about ROWS_PER_BUCKET, and the stride.
 
-    Buckets are even parts of quantiles, whose bounds are few whatever the table holds.
+    Between two of the quantiles of o, buckets are even parts; an o that several quantiles share has places of its own,
+    where rows are dealt by the range of th, which descends as the number grows. Numbers with one quotient by the stride
+    stand between two quantiles or have one o, so quotients are few whatever the table holds.
     """
     n = docs.count()
     buckets = max(1, n // ROWS_PER_BUCKET)
     first = min(QUANTILES, buckets)
     if first == 1:
-        return F.shiftright(key, 63) * 0, 1
-    shares = [k / first for k in range(first + 1)]
-    bounds = docs.agg(F.percentile_approx(key, shares, 10_000)).first()[0]
+        return F.lit(0).cast("long"), 1
+    bounds = docs.agg(F.percentile_approx("o", [k / first for k in range(first + 1)], 10_000)).first()[0]
     inner = sorted(set(bounds[1:-1]))
 
     def tree(lo: int, hi: int) -> Column:
-        """The number of inner bounds at or below the key, known to be lo to hi."""
+        """The number of inner bounds at or below o, known to be lo to hi."""
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(key) < inner[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(F.col("o") < inner[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    quantile = tree(0, len(inner))
+    between = tree(0, len(inner)).cast("long")
     parts = -(-buckets // first)
-    if parts == 1:
-        return quantile.cast("long"), 1
-    ends = F.array(*[F.lit(x) for x in [bounds[0], *inner, bounds[-1] + 1]])
-    low, high = F.get(ends, quantile), F.get(ends, quantile + 1)
-    part = F.width_bucket(key, low.cast("double"), high.cast("double"), F.lit(parts))
-    return quantile * F.lit(parts + 2).cast("long") + part, parts + 2
+    shares = {v: -(-bounds.count(v) * n // (first * ROWS_PER_BUCKET)) for v in inner if bounds.count(v) > 1}
+    stride = max(parts + 2, *shares.values()) if shares else parts + 2
+    part = F.lit(0).cast("long")
+    if parts > 1:
+        ends = F.array(*[F.lit(x) for x in [bounds[0], *inner, bounds[-1] + 1]])
+        low, high = F.get(ends, between.cast("int")), F.get(ends, between.cast("int") + 1)
+        part = F.coalesce(F.width_bucket("o", low.cast("double"), high.cast("double"), F.lit(parts)), F.lit(0))
+    number = 2 * between * stride + part
+    if shares:
+        many = F.try_element_at(F.create_map(*[x for v, m in shares.items() for x in (F.lit(v).cast("long"), F.lit(m).cast("long"))]), F.col("o"))
+        down = many - 1 - F.shiftright((F.shiftright("th", 48) + (1 << 15)) * many, 16)
+        number = F.when(many.isNotNull(), (2 * between - 1) * stride + down).otherwise(number)
+    return number.cast("long"), stride
 
 
 def with_next(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """doc_id, text, found, cells and ``next``, a struct of the last three of the next row in descending doc_id.
 
-    The first row follows the last. Null ids come last; rows of one doc_id are ordered by their texts. The texts move
-    once, into buckets of neighbouring ids; the first row of each bucket is taken from there for the bucket before.
+    The first row follows the last. Null ids come last; rows of one doc_id are ordered by a hash of their texts. The
+    texts move once, into buckets of neighbouring rows; the first row of each bucket is taken from there for the one
+    before.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"))
-    bucket, parts = _bucket(keyed.select("o"), "o")
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.xxhash64("text").alias("th"))
+    bucket, stride = _bucket(keyed.select("o", "th"))
     dealt = keyed.withColumn("bucket", bucket).repartition("bucket")
-    order = W.partitionBy("bucket").orderBy(F.desc("o"), F.asc("text"))
+    order = W.partitionBy("bucket").orderBy(F.desc("o"), F.asc("th"), F.asc("text"))
     heads = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     heads = heads.select(F.col("bucket").alias("following"), F.struct("doc_id", "text").alias("head"))
-    # which bucket follows which: inside a quantile, then from quantile to quantile (QUANTILES rows at most), then round
-    there = keyed.select(bucket.alias("bucket")).distinct().withColumn("quantile", F.expr(f"bucket div {parts}"))
-    inside = there.withColumn("following", F.lead("bucket").over(W.partitionBy("quantile").orderBy(F.desc("bucket"))))
-    line = W.orderBy(F.desc("quantile"))
+    # which bucket follows which: inside a quotient, then from quotient to quotient (2 * QUANTILES rows at most), then round
+    there = keyed.select(bucket.alias("bucket")).distinct().withColumn("quotient", F.floor(F.col("bucket") / stride))
+    inside = there.withColumn("following", F.lead("bucket").over(W.partitionBy("quotient").orderBy(F.desc("bucket"))))
+    line = W.orderBy(F.desc("quotient"))
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    across = there.groupBy("quantile").agg(F.max("bucket").alias("top"))
-    across = across.select("quantile", F.coalesce(F.lead("top").over(line), F.first("top").over(whole)).alias("after"))
-    follows = inside.join(across, "quantile").select("bucket", F.coalesce("following", "after").alias("following"))
+    across = there.groupBy("quotient").agg(F.max("bucket").alias("top"))
+    across = across.select("quotient", F.coalesce(F.lead("top").over(line), F.first("top").over(whole)).alias("after"))
+    follows = inside.join(across, "quotient").select("bucket", F.coalesce("following", "after").alias("following"))
     edge = follows.join(heads, "following").select("bucket", F.col("head.text").alias("text"))
     edge = sketched(edge, piece).select("bucket", F.struct("text", "found", "cells").alias("edge"))
     rows = sketched(dealt, piece).withColumn("next", F.lead(F.struct("text", "found", "cells")).over(order))
-    return rows.join(edge, "bucket").withColumn("next", F.coalesce("next", "edge")).drop("edge", "o", "bucket")
+    return rows.join(edge, "bucket").withColumn("next", F.coalesce("next", "edge")).drop("edge", "o", "th", "bucket")
 
 
 def sketched(rows: DataFrame, piece: int = PIECE) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, free, grouped_runs, read, saved
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 CHUNK = 500
 SIGMAS = 5
 SMALL = 32

@@ -191,8 +191,8 @@ def pack(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49k.json
     Null and empty texts are one piece with the end id. Rows of one doc_id, null included, are packed each by
     itself. An empty table gives no rows. Other columns are ignored.
     """
-    pieces = saved(cut_pieces(docs, tokenizer, limit, end_id), "pieces")
-    rows = placed(ranked(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"]), minimum_bin_slack(histogram(pieces), limit))
+    pieces = saved(cut_pieces(docs, tokenizer, limit, end_id).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    rows = placed(ranked(pieces, "length", ["number"], few_groups=True), minimum_bin_slack(histogram(pieces), limit))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -38,7 +38,7 @@ def packed_ids(docs: DataFrame, limit: int = 4096, tokenizer: str = "word_bpe_49
     pieces = saved(cut.withColumn("number", F.monotonically_increasing_id()), "ids")
     runs = best_fit_decreasing(histogram(pieces), limit)
     # lengths alone are ranked; the ids move once to their places and once into their sequences
-    places = placed(ranked(pieces.select("number", "length"), "length", ["number"]), runs)
+    places = placed(ranked(pieces.select("number", "length"), "length", ["number"], few_groups=True), runs)
     rows = pieces.join(places.select("number", "sequence_id", "offset"), "number")
     segment = F.struct("offset", "length", "doc_id", "piece", "ids")
     rows = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))

@@ -243,6 +243,29 @@ def test_fingerprints(docs, empty, monkeypatch, rows_per_bucket):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_bucket", [5, 2048])
+def test_one_id_of_many_rows(spark, monkeypatch, rows_per_bucket):
+    """A third of the rows have one id and a third none; they are put in order by a hash of their texts."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", rows_per_bucket)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 16)
+    rows = [([7, None, k][k % 3], f"text {k} " + "ab" * k) for k in range(300)]
+    digest = lambda t: (xxhash.xxh64_intdigest(t, 42) + (1 << 63)) % (1 << 64)
+    line = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), digest(r[1])))
+    want = []
+    for k, (i, text) in enumerate(line):
+        after = line[(k + 1) % len(line)][1]
+        half = len(text) // 2
+        want.append((i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "edited_sha256").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    if rows_per_bucket == 5:
+        keyed = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.xxhash64("text").alias("th"))
+        sizes = [r["count"] for r in keyed.groupBy(fingerprints._bucket(keyed)[0].alias("b")).count().collect()]
+        assert max(sizes) <= 20
+
+
 def test_short_texts_keep_their_shared_half(spark, tmp_path):
     """One line of 400 characters in four sentences: the edited text keeps the first two."""
     line = lambda k: " ".join(f"{c * 97}." for c in "abcdefgh"[k : k + 4])
