@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from palimpsest.functions import text as T
 
@@ -21,19 +24,28 @@ def sentences(docs: DataFrame) -> DataFrame:
     )
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, token_no, idx, len, token, pos, tag): UTF-8 byte offsets; one shuffle by document, before the rows multiply."""
+@F.pandas_udf(ArrayType(LongType()))
+def before(sizes: pd.Series) -> pd.Series:
+    """For each element of an array of sizes the sum of those before it."""
+    return sizes.map(lambda x: np.cumsum(x, dtype=np.int64) - x)
+
+
+def placed_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, found): for each document its tokens as array<struct<part, len, idx>>, made within its row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select("doc_id", F.regexp_extract_all(text, F.lit(T.PIECE), F.lit(0)).alias("parts")).repartition("doc_id")
-    rows = parts.select("doc_id", F.posexplode("parts").alias("n", "part")).withColumn("len", F.octet_length("part"))
-    order = W.partitionBy("doc_id").orderBy("n")
-    rows = rows.withColumn("idx", F.coalesce(F.sum("len").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.where(F.col("part").rlike(f"^{T.TOKEN}"))
-    token = F.lower("part")
+    parts = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(T.PIECE), F.lit(0)).alias("part"))
+    parts = parts.withColumn("len", F.transform("part", lambda p: F.octet_length(p)))
+    rows = parts.withColumn("idx", before("len"))
+    return rows.select("doc_id", "text", F.filter(F.arrays_zip("part", "len", "idx"), lambda x: x["part"].rlike(f"^{T.TOKEN}")).alias("found"))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, token_no, idx, len, token, pos, tag): UTF-8 byte offsets; no shuffle."""
+    rows = placed_tokens(docs).select("doc_id", F.posexplode("found").alias("token_no", "t"))
+    token = F.lower("t.part")
     return rows.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("token_no"), "idx", "len", token.alias("token"),
-        T.universal_pos(token).alias("pos"), T.penn_tag(token).alias("tag"),
-    )
+        "doc_id", "token_no", "t.idx", "t.len", token.alias("token"), T.universal_pos(token).alias("pos"), T.penn_tag(token).alias("tag")
+    )
 
 
 def sentence_table(found: DataFrame) -> DataFrame:
@@ -45,15 +57,17 @@ def sentence_table(found: DataFrame) -> DataFrame:
 
 
 def sentence_texts(docs: DataFrame) -> DataFrame:
-    """Text from a sentence's first token to the first token of the next one, as byte slices."""
-    starts = sentence_table(sentences(docs)).select("doc_id", "sentence_id", F.col("token_at").alias("token_no"))
-    placed = tokens(docs).join(starts, ["doc_id", "token_no"])
-    order = W.partitionBy("doc_id").orderBy("sentence_id")
-    placed = placed.withColumn("end", F.lead("idx").over(order))
-    text = F.coalesce("text", F.lit(""))
-    rows = placed.join(docs.select("doc_id", text.alias("text")), "doc_id")
-    length = F.coalesce("end", F.octet_length("text")) - F.col("idx")
-    return rows.select("doc_id", "sentence_id", T.byte_slice(F.col("text"), F.col("idx"), length).alias("sentence_text"))
+    """Text from a sentence's first token to the first token of the next one, as byte slices made within the row."""
+    counts = F.transform(T.sentence_array(F.col("text")), lambda s: F.size(F.regexp_extract_all(s, F.lit(T.TOKEN), F.lit(0))))
+    rows = placed_tokens(docs).withColumn("counts", counts).withColumn("first", before("counts"))
+    rows = rows.withColumn("starts", F.transform("first", lambda k: F.get("found", k.cast("int"))["idx"]))
+    length = F.octet_length("text").cast("long")
+
+    def cut(raw):
+        return F.transform("starts", lambda at, i: F.substring(raw, at.cast("int") + 1, (F.coalesce(F.get("starts", i + 1), length) - at).cast("int")).cast("string"))
+
+    texts = F.get(F.transform(F.array(F.encode("text", "utf-8")), cut), F.lit(0))
+    return rows.select("doc_id", F.posexplode(texts).alias("sentence_id", "sentence_text"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
