@@ -117,8 +117,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component_id) for every node of the undirected edges; component_id is the smallest node reachable.
 
     Alternating large-star and small-star rounds: neighbours are never gathered, only their minimum is taken, so a
-    hub is a partial aggregate and a join whose skew Spark can split. Each round is stored, and the rounds end when
-    the edges are all stars around the smallest node.
+    hub is a partial aggregate and a join whose skew Spark can split. Each round is stored in place of the one before,
+    and the rounds end when the edges are all stars around the smallest node. The result is a stored table.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
@@ -145,4 +145,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
-    return spark.createDataFrame([], "node long, component_id long").union(found).union(roots)
+    named = saved(spark.createDataFrame([], "node long, component_id long").union(found).union(roots), "components")
+    free(source)
+    return named

@@ -373,7 +373,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
     asked = tested.select(F.col("a").alias("node")).union(tested.select(F.col("b").alias("node"))).distinct()
     sets = saved(sets_of(with_text.join(asked, "node", "left_semi"), docs, words), "sets")
     links = saved(confirmed(tested, sets, percent), "links")
-    found = saved(components(links), "components")
+    found = components(links)
+    spent = [inside, tested, sets, links]
 
     for crossing in (False, True):
         tiles = saved(mixed_buckets(inside, found, nodes, crossing), "tiles")
@@ -381,13 +382,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
         if not seen.isEmpty():
             lacking = seen.select("node").distinct().join(sets.select("node"), "node", "left_anti")
             more = saved(sets_of(with_text.join(lacking, "node", "left_semi"), docs, words), "sets")
+            spent.append(more)
             sets = sets.union(more)
             look = tiles.join(seen, [*TILE_KEYS, "node"]).join(sets, "node")
             new = saved(linked_in_tiles(look, percent), "links")
+            spent.append(new)
             if not new.isEmpty():
                 links = links.union(new)
-                found = saved(components(links), "components")
-        free(tiles, seen)
+                spent.append(found)
+                found = components(links)
+        spent += [tiles, seen]
+    free(*spent)
 
     of_node = nodes.select("node", "digest", "lead").join(found, "node", "left").select("digest", "lead", F.coalesce("component_id", "node").alias("comp"))
     heads = of_node.groupBy("comp").agg(F.min("lead").alias("head"))
