@@ -32,6 +32,18 @@ def test_raw_scores_are_those_of_the_alignment(seed):
     assert both.tolist() == align.align_both_ways(flat, lengths, costs)[0].tolist()
 
 
+@pytest.mark.parametrize("cutoff", [-1, 0, 1, 5])
+def test_raw_scores_of_long_sentences(cutoff):
+    """Longer than the gaps whose costs still grow, and of one cutoff, as a search has them."""
+    rng = np.random.default_rng(9)
+    lengths = np.array([330, 290, 3])
+    scores = np.where(rng.random((3, 330, 3)) < 0.97, 0, rng.random((3, 330, 3)) * 3)
+    for b, n in enumerate(lengths):
+        scores[b, n:] = 0
+    costs = np.stack([align.gap_costs(331, cutoff, int(n)) for n in (400, 290, 3)])
+    assert align.raw_scores(scores, lengths, costs).tolist() == align.align(scores, lengths, costs)[0].tolist()
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = np.random.default_rng(1)
