@@ -3,11 +3,15 @@
 A byte goes when a string of ``length`` bytes covers it that also starts in a document with a smaller doc_id. Ranking
 every suffix of the corpus would sort one row per byte in every round; here the suffixes are sampled, and names (64-bit
 hashes) stand for ranks. In every window of ``length`` bytes the least 16-byte string by hash is its anchor, so equal
-windows have equal anchors and consecutive windows share one (about one anchor per 18 bytes). The rounds sort names at
-growing lengths and drop what is unique:
-
-1. 16 bytes: the anchor's name. Anchors that one batch of documents alone has, and there one document alone, drop out.
-2. up to 84 bytes: the pair (name of the anchor, name of all windows that share it). Where the least document of the
+windows have equal anchors and consecutive windows share one (about one anchor per 18 bytes). An anchor stands for two
+things apart, each with a name of its own: the windows that hold the 17 bytes before it, and the others, which hold the
+18 bytes after it. (Names of 16 bytes alone would recur by chance ever more often as the corpus grows, and so would the
+windows sent for them; those of 33 and 34 bytes seldom do.) The rounds sort names at growing lengths and drop what is
+unique:
+
+1. 33 or 34 bytes: the anchor's name. Anchors that one batch of documents alone has, and there one document alone, drop
+   out.
+2. up to 67 bytes: the pair (name of the anchor, name of all windows that share it). Where the least document of the
    pair is smaller than an occurrence's own, all its windows are repeats. An anchor with one such pair is finished.
 3. ``length`` bytes: the single windows of anchors with several pairs, from the least document of each pair.
 
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, read, saved
+from .common import free, read, saved, shuffles_freed
 
 GRAM = 16
 BATCH_BYTES = 2 << 20
@@ -49,7 +53,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """The anchors of a batch of texts: for each its name, its document, and its windows first..last."""
+    """The anchors of a batch of texts: for each its name, its document, and its windows first..last.
+
+    An anchor whose windows lie on both sides (enough bytes before it, or not) is two.
+    """
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, length: int):
         self.length = length
@@ -72,16 +79,18 @@ class Anchors:
             keys = np.minimum(keys[: len(keys) - step], keys[step:])
             have += step
         at = (keys[windows] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)])
+        half = (length - GRAM) // 2
+        left = at - windows >= half
+        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1) | (left[1:] != left[:-1])])
         self.first = windows[new]
         self.last = windows[np.r_[new[1:], len(windows)] - 1]
-        anchor = at[new]
-        self.name = grams[anchor]
+        anchor, left = at[new], left[new]
         self.doc = ids[np.searchsorted(self.start, self.first, side="right") - 1]
         # sums of words times powers name any span
         power = np.cumprod(np.full(n - 7, C))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * power)])
         self.back = np.cumprod(np.full(n - 7, C_INVERSE))
+        self.name = self.span(np.where(left, anchor - half, anchor), np.where(left, anchor + GRAM, anchor + length - half + 1))
         where = (anchor - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
         self.text_name = mixed(self.span(self.first, self.last + length) + where * A)
 
@@ -132,7 +141,7 @@ class Batch:
         answers = answers[answers["round"] == round_]
         for bucket, blob in zip(answers["bucket"], answers["blob"], strict=True):
             own = np.flatnonzero(dealt == bucket)
-            out[own] = np.frombuffer(blob, kind)[: len(own)]
+            out[own] = flags_of(blob, len(own)) if kind is bool else np.frombuffer(blob, kind)[: len(own)]
         return out
 
     def first(self) -> tuple[list[np.ndarray], np.ndarray]:
@@ -146,7 +155,7 @@ class Batch:
 
     def second(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         names = self.first()
-        elsewhere = self.gathered(answers, names, 1, "u1", 0)[self.number] > 0
+        elsewhere = self.gathered(answers, names, 1, bool, False)[self.number]
         self.left = np.flatnonzero(self.several | elsewhere)
         a = self.anchors
         (names, texts), doc, self.pair = least([a.name[self.left], a.text_name[self.left]], a.doc[self.left])
@@ -174,7 +183,7 @@ class Batch:
         told = answers[answers["round"] == 3]
         flags = dict(zip(told["bucket"], told["blob"], strict=True))
         for bucket, own in by_document(self.deal(windows), doc):
-            repeated[own] = np.frombuffer(flags[bucket], "u1") > 0
+            repeated[own] = flags_of(flags[bucket], len(own))
         # within the batch, the names' least document may not be the occurrence's own
         owner, start = a.windows(self.single)
         hit = start[repeated[self.window] | (doc[self.window] < a.doc[self.single][owner])]
@@ -215,11 +224,15 @@ def read_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return values[1 + 2 * n :].view(np.uint64), np.repeat(values[1 : 1 + n], values[1 + n : 1 + 2 * n])
 
 
+def flags_of(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+
+
 ANSWER = "batch long, round int, bucket long, id long, blob binary"
 
 
 def _answer(rows: pd.DataFrame, round_: int, values: np.ndarray, cuts: np.ndarray) -> pd.DataFrame:
-    blobs = [x.tobytes() for x in np.split(values, cuts)]
+    blobs = [(np.packbits(x) if x.dtype == bool else x).tobytes() for x in np.split(values, cuts)]
     return pd.DataFrame({"batch": rows["batch"], "round": round_, "bucket": rows["bucket"], "id": 0, "blob": blobs})
 
 
@@ -238,7 +251,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, -(-total // BATCH_BYTES))
     n_files = max(1, -(-batches // BATCHES_PER_BUCKET))
-    per_text = (length - GRAM + 2) / 2
+    per_text = (length - GRAM + 2) / 2 / 1.4  # some two anchors in five are two
     buckets = max(1, int(total / per_text / NAMES_PER_GROUP))
     digest = F.unhex(F.sha2(text, 256))
     own = [F.col(c).alias(f"own_{k}") for k, c in enumerate(columns)]
@@ -246,7 +259,8 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     rows = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).cast("long").alias("_id"), null_id, text.alias("text"), *own, digest.alias("digest"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("_id", "digest"), F.lit(batches)))
     name = f"suffix_{uuid.uuid4().hex}"
-    rows.repartition(n_files, "batch").write.bucketBy(n_files, "batch").option("compression", "zstd").saveAsTable(name, format="parquet")
+    with shuffles_freed(spark):
+        rows.repartition(n_files, "batch").write.bucketBy(n_files, "batch").option("compression", "zstd").saveAsTable(name, format="parquet")
     atexit.register(_drop, spark, name)
     table = spark.table(name)
 
@@ -269,7 +283,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     def meet_first(rows: pd.DataFrame) -> pd.DataFrame:
         names, cuts = _joined(rows, "<u4")
         _, number, counts = np.unique(names, return_inverse=True, return_counts=True)
-        return _answer(rows, 1, (counts[number] > 1).astype("u1"), cuts)
+        return _answer(rows, 1, counts[number] > 1, cuts)
 
     def told(answers: DataFrame, more: DataFrame) -> DataFrame:
         both = saved(answers.union(more), "answers")
@@ -312,7 +326,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
         parts = [read_runs(x) for x in rows["blob"]]
         windows, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, lowest, number = least([windows], doc)
-        return _answer(rows, 3, (lowest[number] < doc).astype("u1"), np.cumsum([len(x) for x, _ in parts])[:-1])
+        return _answer(rows, 3, lowest[number] < doc, np.cumsum([len(x) for x, _ in parts])[:-1])
 
     answers = told(answers, ask(third).groupBy("bucket").applyInPandas(meet_third, ANSWER))
     out_columns = ["doc_id", *columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]

@@ -3,15 +3,17 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output, tokens
+from palimpsest.llm import common, embedding_dedup, fingerprints, language, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_output, tokens
 from palimpsest.llm.tokens import WordIds
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,6 +204,42 @@ def test_repeats(clashing, docs, empty, monkeypatch):
     assert suffix_dedup.find_repeats(empty).count() == 0
 
 
+def test_windows_do_not_follow_the_common_words(monkeypatch):
+    """Texts of few words, which share most 16-byte strings and hardly any 50-byte one: few of their windows are sent."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1 << 30)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(250)) for _ in range(200)]
+    texts[-1] = texts[0][300:500] + texts[-1]
+    rows = {"_id": np.arange(len(texts)), "text": texts, "digest": [hashlib.sha256(t.encode()).digest() for t in texts]}
+    none = pd.DataFrame(columns=["batch", "round", "bucket", "id", "blob"])
+    batch = suffix_dedup.Batch(pd.DataFrame(rows), none, 1, 50)
+    names, pair_texts, doc = batch.second(none)
+    (distinct, _), lowest, number = suffix_dedup.least([names, pair_texts], doc)
+    several = np.isin(distinct, distinct[1:][distinct[1:] == distinct[:-1]])
+    answer = pd.DataFrame({"batch": [0], "round": [2], "bucket": [0], "id": [0], "blob": [np.where(several, -1 - lowest, lowest)[number].tobytes()]})
+    windows, _ = batch.third(answer)
+    seen = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            seen.setdefault(t[k : k + 50], set()).add(i)
+    repeated = sum(len(x) > 1 for x in seen.values())
+    assert repeated >= 150
+    assert len(windows) < 0.05 * len(seen)
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    """Those of frames that are written go with the write, and the session's setting is as before."""
+    before = spark.conf.get(common.FREE_SHUFFLES, None)
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(f) for d in folders for f in Path(d).rglob("shuffle_*")}
+    there = files()
+    found = common.saved(spark.range(20_000).select((F.col("id") % 7000).alias("k")).groupBy("k").count(), "counts")
+    assert found.count() == 7000
+    assert not [f for f in files() - there if f.endswith(".data") and Path(f).stat().st_size > 20_000]
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+
+
 def test_mix_equals_sql(spark, docs, empty):
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source").toPandas()
     connection = duckdb.connect()
