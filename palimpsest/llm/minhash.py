@@ -180,11 +180,41 @@ def possible(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
+MARK_WORDS = 1 << 20
+
+
+def marked(rows: DataFrame) -> np.ndarray:
+    """Words of 64 bits, with a bit set for each row key: about 16 bits a row as long as MARK_WORDS allows."""
+    words = 1 << min(MARK_WORDS.bit_length() - 1, max(6, (rows.count() >> 2).bit_length()))
+    hashed = F.xxhash64(*ROW)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(64)).cast("int"))
+    found = rows.groupBy(F.pmod(hashed, F.lit(words)).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def only_marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows whose key is marked, and a few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def is_marked(hashed: pd.Series) -> pd.Series:
+        h = hashed.to_numpy().view(np.uint64)
+        word = shared.value[(h % np.uint64(len(shared.value))).astype(np.int64)]
+        return pd.Series(word >> (h >> np.uint64(32)) % np.uint64(64) & np.uint64(1) > 0)
+
+    return texts.where(is_marked(F.xxhash64(*ROW)))
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, members) for nodes(node, doc_id, th): the sorted shingle hashes, from the text of the row that stands for it."""
+    """(node, members) for nodes(node, doc_id, th): the sorted shingle hashes, from the text of the row that stands for it.
+
+    Texts of other rows are left out by a bitmap where they are read, so they do not move.
+    """
     known = nodes.select("node", row_key()["o"].alias("o"), "th")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(row_key()).drop("doc_id")
-    texts = texts.join(known, ROW).dropDuplicates([*ROW, "node"]).select("node", "text")  # rows that are wholly alike
+    texts = only_marked(texts, marked(known)).join(known, ROW).dropDuplicates([*ROW, "node"]).select("node", "text")  # rows that are wholly alike
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)

@@ -184,6 +184,22 @@ def test_stars_lose_no_link(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_texts_that_no_set_needs_do_not_move(spark, monkeypatch):
+    """The bitmap lets through every row that is asked for, null ids and empty texts too, and few others, also when it is full."""
+    docs = spark.createDataFrame([(k if k % 50 else None, f"text {k}", "en", "a", 1) for k in range(4000)] + [(7, None, None, None, None)], DOCS)
+    rows = docs.withColumns(minhash.row_key()).where("doc_id IS NULL OR doc_id < 200").select(*minhash.ROW)
+    for words, most in ((1 << 20, 500), (1 << 6, 4001)):
+        monkeypatch.setattr(minhash, "MARK_WORDS", words)
+        found = minhash.only_marked(docs.withColumns(minhash.row_key()), minhash.marked(rows)).select(*minhash.ROW).collect()
+        assert set(rows.collect()) <= set(found)
+        assert len(found) <= most
+    nodes = docs.where("doc_id < 40").select(F.col("doc_id").alias("node"), "doc_id", minhash.row_key()["th"].alias("th")).where("th <> xxhash64('')")
+    asked = []
+    monkeypatch.setattr(minhash, "only_marked", lambda texts, bits, f=minhash.only_marked: asked.append(f(texts, bits).count()) or f(texts, bits))
+    assert minhash.sets_of(nodes, docs, 3).count() == 39
+    assert asked[0] < 400
+
+
 def test_repeats(clashing, docs, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "NAMES_PER_GROUP", 50)
