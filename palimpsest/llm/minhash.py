@@ -37,6 +37,7 @@ CHUNK = 500
 SIGMAS = 5
 SMALL = 32
 TILE = 512
+AT_ONCE = 1 << 18  # edges, 4 MB
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -403,7 +404,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
     asked = tested.select(F.col("a").alias("node")).union(tested.select(F.col("b").alias("node"))).distinct()
     sets = saved(sets_of(with_text.join(asked, "node", "left_semi"), docs, words), "sets")
     links = saved(confirmed(tested, sets, percent), "links")
-    found = components(links)
+    found = components(links, at_once=AT_ONCE)
     spent = [inside, tested, sets, links]
 
     for crossing in (False, True):
@@ -420,7 +421,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
             if not new.isEmpty():
                 links = links.union(new)
                 spent.append(found)
-                found = components(links)
+                found = components(links, at_once=AT_ONCE)
         spent += [tiles, seen]
     free(*spent)
 

@@ -81,8 +81,13 @@ def train_ftrl(
     rows: list[tuple[str, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.01, epochs: int = 6, seed: int = 7
 ) -> np.ndarray:
     """Weights after passes over the rows in shuffled orders; per-coordinate step sizes, L1 keeps rare ones at 0."""
-    features = Features()
-    data = [(*features(text), label) for text, label in rows]
+    features, pieces, bounds = Features(), [], [0]
+    for k in range(0, len(rows), 500):  # few large arrays: the driver's memory is given back when they go
+        found = [features(text) for text, _ in rows[k : k + 500]]
+        bounds += (bounds[-1] + np.cumsum([len(i) for i, _ in found])).tolist()
+        pieces.append((np.concatenate([i for i, _ in found]).astype(np.int32), np.concatenate([x for _, x in found])))
+    places, values = (np.concatenate(x) for x in zip(*pieces, strict=True)) if pieces else (None, None)
+    del pieces, features
     z = np.zeros(CONSTANT + 1)
     n = np.zeros(CONSTANT + 1)
     order = np.random.default_rng(seed)
@@ -91,8 +96,9 @@ def train_ftrl(
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for k in order.permutation(len(data)):
-            i, x, label = data[k]
+        for k in order.permutation(len(rows)):
+            own = slice(bounds[k], bounds[k + 1])
+            i, x, label = places[own], values[own], rows[k][1]
             w = weights(i)
             g = (sigmoid(w @ x) - label) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha

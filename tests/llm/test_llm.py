@@ -172,6 +172,35 @@ def test_near_duplicates(clashing, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 18])
+def test_components(spark, at_once):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 - k, 999 - k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 50)]
+    edges = [e for e in edges if e[0] != e[1]]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {x: low if r == high else r for x, r in root.items()}
+    found = common.components(spark.createDataFrame(edges, "a long, b long"), at_once=at_once).collect()
+    assert {r["node"]: r["component_id"] for r in found} == root and len(found) == len(root)
+    assert common.components(spark.createDataFrame([], "a long, b long"), at_once=at_once).count() == 0
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    """The driver keeps a record of each job: few links take fewer than rounds of stars do, with the same result."""
+    rng = random.Random(5)
+    table = [(k, " ".join(f"w{k // 4}x{j}" if j else str(rng.random()) for j in range(60)), "en", "a", 1) for k in range(80)]
+    context, jobs = spark.sparkContext, []
+    for at_once in (0, minhash.AT_ONCE):
+        monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+        context.setJobGroup(f"few links {at_once}", "")
+        found = minhash.near_duplicates(spark.createDataFrame(table, DOCS)).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"few links {at_once}")))
+        assert {r["doc_id"]: r["component_id"] for r in found} == {k: k // 4 * 4 for k in range(80)}
+    context._jsc.sc().clearJobGroup()
+    assert jobs[1] <= jobs[0] - 10, jobs
+
+
 def test_stars_lose_no_link(spark):
     """A chain of near copies whose ends are unlike: the smallest id is linked to few of them."""
     rng = random.Random(5)
