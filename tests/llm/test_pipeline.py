@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -138,6 +139,16 @@ def test_repeats_stage(inputs):
     assert sum(len(r[1]) for r in want) < sum(len(r[1] or "") for r in into(inputs, "repeated passages"))
 
 
+def test_repeats_stage_frees_its_shuffles(spark, inputs):
+    """The moved texts and the names of each round are off the disk before the next round, whenever the driver collects garbage."""
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    there = files()
+    left = corpus_pipeline.drop_repeated_passages(spark, inputs["repeated passages"], "")
+    assert not files() - there
+    assert left.count() == inputs["repeated passages"].count()
+
+
 def test_mixing_stage(inputs):
     given = into(inputs, "mixing")
     connection = duckdb.connect()
