@@ -1,7 +1,8 @@
 """From raw documents to packed sequences, one operator after another.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-``run`` stores each stage's result and reads it again, so no stage is computed twice.
+``run`` stores each stage's result and reads it again, so no stage is computed twice. What a stage has read and stored
+beside its result goes as soon as that is there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import minhash, mixing, packing, quality, suffix_dedup
-from palimpsest.llm.common import read, saved
+from palimpsest.llm.common import read, saved, stored_meanwhile
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -80,9 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = saved(docs, "stage")
-    return docs
+    docs, spent = read(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with stored_meanwhile() as made:
+            docs = saved(stage(spark, docs, sf_dir), "stage")
+        *own, result = made
+        for forget in [*spent, *own]:
+            forget()
+        spent = [result]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -387,7 +387,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
     is one shingle; null, empty and blank texts have no shingle and link with nothing. Every row is a document of its
     own, whatever its id. component_id is the smallest doc_id of a component, null if no row of it has one; ``leads``
     is true for the rows with the smallest (doc_id, th) of their component, null ids last, and for rows that link with
-    nothing. An empty table gives no rows; other columns are ignored.
+    nothing. An empty table gives no rows; other columns are ignored. The result is a stored table.
     """
     bands = bands_for(percent, rows, miss)
     table = saved(sketch(docs, words, rows, bands), "sketches")
@@ -431,7 +431,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rows: int =
     named = table.select("doc_id", "th", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id"))
     leads = F.when(F.col("n_shingles") > 0, F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))).otherwise(True)
-    return named.select("doc_id", "th", "n_shingles", component.alias("component_id"), leads.alias("leads"))
+    groups = saved(named.select("doc_id", "th", "n_shingles", component.alias("component_id"), leads.alias("leads")), "groups")
+    free(table, nodes, found)  # on disk, sketches and keys are half as large as the texts
+    return groups
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-6) -> DataFrame:

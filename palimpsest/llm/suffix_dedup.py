@@ -22,7 +22,6 @@ moving the texts again. Exact copies of a text are settled by their digest befor
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import uuid
 
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, read, saved, shuffles_freed
+from .common import at_end, free, read, saved, shuffles_freed
 
 GRAM = 16
 BATCH_BYTES = 2 << 20
@@ -212,16 +211,29 @@ def by_document(dealt: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarra
     return [(int(dealt[own[0]]), own) for own in np.split(order, cuts)] if len(order) else []
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """In as few bytes each as the greatest needs."""
+    return values.astype(np.min_scalar_type(values.max(initial=0)))
+
+
 def runs_blob(names: np.ndarray, doc: np.ndarray) -> bytes:
-    """Names of documents in order: how many documents, their ids, how many names each has, the names."""
+    """Names of documents in order: how many documents, the first id, the steps to the others, how many names each has, the names.
+
+    A bucket of a batch has ever fewer names the more buckets there are, so ids and counts are kept narrow.
+    """
     ids, counts = np.unique(doc, return_counts=True)
-    return np.concatenate([np.array([len(ids)], np.int64), ids, counts, names.view(np.int64)]).tobytes()
+    steps, counts = narrow(np.diff(ids).view(np.uint64)), narrow(counts)
+    head = np.array([len(ids), ids[0], steps.itemsize, counts.itemsize], "<i8")
+    return b"".join(x.tobytes() for x in (head, steps, counts, names))
 
 
 def read_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(blob, np.int64)
-    n = int(values[0])
-    return values[1 + 2 * n :].view(np.uint64), np.repeat(values[1 : 1 + n], values[1 + n : 1 + 2 * n])
+    n, first, step, count = (int(x) for x in np.frombuffer(blob, "<i8", 4))
+    steps = np.frombuffer(blob, f"<u{step}", n - 1, 32)
+    counts = np.frombuffer(blob, f"<u{count}", n, 32 + (n - 1) * step)
+    names = np.frombuffer(blob, "<u8", -1, 32 + (n - 1) * step + n * count)
+    ids = np.cumsum(np.concatenate([np.array([first], np.int64).view(np.uint64), steps.astype(np.uint64)])).view(np.int64)
+    return names, np.repeat(ids, counts)
 
 
 def flags_of(blob: bytes, n: int) -> np.ndarray:
@@ -248,7 +260,8 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
         raise ValueError(f"length must be {GRAM + 8} or more")
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    with shuffles_freed(spark):
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, -(-total // BATCH_BYTES))
     n_files = max(1, -(-batches // BATCHES_PER_BUCKET))
     per_text = (length - GRAM + 2) / 2 / 1.4  # some two anchors in five are two
@@ -261,7 +274,7 @@ def find_repeats(docs: DataFrame, length: int = 50, columns: tuple[str, ...] = (
     name = f"suffix_{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         rows.repartition(n_files, "batch").write.bucketBy(n_files, "batch").option("compression", "zstd").saveAsTable(name, format="parquet")
-    atexit.register(_drop, spark, name)
+    at_end(_drop, spark, name)
     table = spark.table(name)
 
     ids = table.select("batch", F.col("_id").alias("id"), "digest")

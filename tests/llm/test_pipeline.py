@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import embedding_dedup, fingerprints, language, minhash, mixing, quality, suffix_dedup, token_counts, token_output
+from palimpsest.llm import common, embedding_dedup, fingerprints, language, minhash, mixing, quality, suffix_dedup, token_counts, token_output
 from palimpsest.llm.tokens import WordIds
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,6 +149,47 @@ def test_repeats_stage_frees_its_shuffles(spark, inputs):
     assert left.count() == inputs["repeated passages"].count()
 
 
+def stored(spark):
+    """Frames and tables that are stored now, without the random end of their names."""
+    folder = Path(common.scratch_dir(spark).removeprefix("file://"))
+    tables = {r["tableName"] for r in spark.sql("SHOW TABLES").collect() if not r["isTemporary"]}
+    return {x.name for x in folder.iterdir()} | tables
+
+
+def test_near_duplicates_stage_leaves_no_sketches(spark, inputs):
+    """Stage 3 begins without what stage 2 compared."""
+    there = stored(spark)
+    left = corpus_pipeline.drop_near_duplicates(spark, inputs["near duplicates"], "")
+    assert {x.split("-")[0] for x in stored(spark) - there} == {"groups"}
+    assert left.count() == inputs["repeated passages"].count()
+
+
+def test_run_keeps_only_what_the_last_stage_reads(spark, sf_dir, inputs, tmp_path):
+    for name, table in (("documents", inputs["quality"]), ("labels", spark.read.parquet(f"{sf_dir}/labels.parquet"))):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    there, seen = stored(spark), []
+    stages = list(corpus_pipeline.STAGES)
+    spied = [(name, lambda s, docs, d, f=f: (seen.append(sorted(x.split("-")[0] for x in stored(spark) - there)), f(s, docs, d))[1]) for name, f in stages]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "STAGES", spied)
+        found = corpus_pipeline.run(spark, str(tmp_path))
+    assert seen == [[], *[["stage"]] * (len(stages) - 1)]
+    assert sorted((r["doc_id"] is not None, r["doc_id"], r["length"]) for r in found.collect()) == sorted((r["doc_id"] is not None, r["doc_id"], r["length"]) for r in inputs[""].collect())
+
+
+def test_runs_of_names_are_little_more_than_the_names():
+    """With many buckets a document has a name or two in each, so its id must not outweigh them."""
+    rng = random.Random(4)
+    odd = [-(1 << 63), -5, 0, 7, 1 << 40, (1 << 63) - 1]
+    for ids in ([5], list(range(0, 300_000, 371)), odd):
+        doc = np.array(sorted(i for i in ids for _ in range(rng.choice([1, 2]))), np.int64)
+        names = np.array([rng.getrandbits(64) for _ in doc], np.uint64)
+        blob = suffix_dedup.runs_blob(names, doc)
+        back = suffix_dedup.read_runs(blob)
+        assert (back[0] == names).all() and (back[1] == doc).all()
+        assert len(blob) < 1.5 * names.nbytes or ids is odd or len(ids) == 1
+
+
 def test_mixing_stage(inputs):
     given = into(inputs, "mixing")
     connection = duckdb.connect()
