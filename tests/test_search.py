@@ -194,3 +194,53 @@ def test_contextual_search(spark, tables, tmp_path, encoder):
             contextual.search(store, queries, encoder)
         finally:
             contextual.NEEDLE_NUMBERS = kept
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_upper_scores_are_none_less(seed):
+    rng = np.random.default_rng(seed)
+    batch, len_s, len_t = 9, int(rng.integers(1, 40)), int(rng.integers(1, 30))
+    cutoff = int(rng.choice([-1, 0, 1, 5, 100]))
+    scores = np.where(rng.random((batch, len_s, len_t)) < 0.5, 0, rng.random((batch, len_s, len_t)))
+    lengths = rng.integers(1, len_s + 1, batch)
+    scores[np.arange(len_s)[None] >= lengths[:, None]] = 0
+    costs = np.stack([align.gap_costs(max(len_s, len_t) + 1, cutoff, n) for n in lengths])
+    raw = align.raw_scores(scores, lengths, costs)
+    upper = align.upper_scores(lambda v: scores[:, :, v].T.astype(np.float32), len_t, cutoff)
+    assert (upper >= raw).all()
+    assert (upper <= raw + 0.3 * (len_t + len_s)).all()
+
+
+def test_needles_beyond_the_table_are_scanned_in_parts(tables, monkeypatch):
+    """None is joined to the tokens of the corpus unless its table alone is too large, and no table comes to the driver as rows."""
+    docs, vocab, queries = tables
+    options = S.Options(metrics=("cosine", ("cosine", "p-norm", 0.25)), similarity_threshold=0.2, max_matches=9)
+    want = S.search_corpus(docs, vocab, queries, options).select(COLUMNS).orderBy("query_id", "place").collect()
+    needle = S.needles(queries, options)
+    widest = max(r["count"] for r in needle.groupBy("query_id").count().collect())
+    monkeypatch.setattr(S, "TABLE_CELLS", (vocab.count() + needle.select("t_token").distinct().count() + 1) * widest * 2)
+    assert len(S.needle_parts(needle, vocab, options)) > 1
+    monkeypatch.setattr(S, "search", None)
+    assert S.search_corpus(docs, vocab, queries, options).select(COLUMNS).orderBy("query_id", "place").collect() == want
+
+
+def test_texts_of_all_kinds_are_found(spark, tables):
+    _, vocab, _ = tables
+    texts = ["red fish\n", "Красная red fish\u2028", "red fish now\u0085", "red fish \u6c34. ΟΔΟΣ", None, "", "été red fish"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red fish"), (2, "οδος"), (3, "Été")], "query_id long, query string")
+    found = [S.search_corpus(docs, vocab, queries, S.Options(similarity_threshold=0.3, min_score=0.9)), S.search(corpus.sentences(docs), vocab, queries, S.Options(similarity_threshold=0.3, min_score=0.9))]
+    one, other = (x.select(COLUMNS).orderBy("query_id", "place").collect() for x in found)
+    assert one == other
+    assert {r["doc_id"] for r in one if r["query_id"] == 1} == {0, 1, 2, 3, 6}
+    assert {(r["query_id"], r["doc_id"]) for r in one} >= {(2, 3), (3, 6)}
+
+
+def test_plain_texts_have_the_same_tokens(spark):
+    """Characters that are tokenised in Python are so as in the JVM."""
+    safe = re.compile(f"[{S.PLAIN}]")
+    chars = [chr(k) for k in range(0x2030) if safe.match(chr(k))]
+    texts = ["".join(chars), *(f"A{c}b {c}{c if safe.match(c.upper()) is None else c.upper()} 1{c}_" for c in chars), "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    told = rows.select("k", S.F.transform(T.sentence_array(S.F.col("text")), T.token_array).alias("words")).collect()
+    assert [r["words"] for r in sorted(told)] == [S.plain_words(t) for t in texts]
