@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,3 +359,39 @@ def test_the_only_difference(spark):
     assert column(spark, evaluate.only_difference(a, b)) == 1
     assert column(spark, evaluate.only_difference(a, a)) is None
     assert column(spark, evaluate.only_difference(a, F.array(F.lit(0), F.lit(3), F.lit(None)))) is None
+
+
+def test_sentence_texts_of_plain_texts_are_byte_slices(spark):
+    """Both ways of cutting give the same; the plain one takes no token apart."""
+    texts = ["So it goes. Été: yes!  It is…\n\nNo;(never) 1,5", " .. a", "...", "", None, "x", "Ωμέγα. été", "ÀÉ;ñandú — «ok». 2² ¼"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, corpus.sliced_texts(docs).collect()))
+    assert sorted(map(tuple, corpus.sentence_texts(docs).collect())) == want
+    assert {d for d, *_ in want} == {0, 1, 5, 6, 7}
+    plain = corpus.sentence_texts(docs.where("doc_id <> 6"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "plain_sentence_texts" in plain or "ArrowEvalPython" in plain or "<lambda>" in plain
+
+
+def test_compared_pairs_are_those_of_expressions(spark, monkeypatch):
+    """Vectors in an array or joined: the same to the last bit. The pairs are not joined to anything."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6).tolist(), float(k)) for k in range(40)] + [(40, None, 1.0), (41, [0.0] * 6, None)]
+    left = spark.createDataFrame(rows, "k long, a array<double>, mean_a double")
+    right = left.where("k % 10 = 0 AND a IS NOT NULL").select(F.col("k").alias("q"), F.col("a").alias("b"), F.col("mean_a").alias("mean_b"))
+    told = {}
+    for most in (4096, 1):
+        monkeypatch.setattr(embeddings, "ASKED", most)
+        told[most] = [sorted(map(str, embeddings.compared(left, right, "k", "q", apart).collect())) for apart in (False, True)]
+    assert told[4096] == told[1]
+    assert len(told[1][0]) == 42 * 4 - 4
+
+
+def test_neighbour_means_of_both_plans(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, rng.normal(size=5).tolist()) for k in rng.permutation(70).tolist()], "vec_id long, vec array<double>")
+    shared = sorted(map(tuple, embeddings.neighbour_means(rows, 9).collect()))
+    monkeypatch.setattr(embeddings, "SHARED", 1)
+    joined = sorted(map(tuple, embeddings.neighbour_means(rows, 9).collect()))
+    assert [x[:2] for x in shared] == [x[:2] for x in joined]
+    assert [x[2] for x in shared] == pytest.approx([x[2] for x in joined], rel=1e-12)
+    assert len(shared) == 630
