@@ -68,3 +68,20 @@ def test_searches_take_the_chosen_items(spark, tables, name, monkeypatch):
     assert best[0] == (1, 0)
     # without "the", document 4 holds the words of "the river ran" as well, and of equal scores the last stands first
     assert best[100_001] == ((4, 0) if name == "search_mixed" else (2, 1))
+
+
+def test_the_evaluation_takes_every_topic(spark, tables):
+    """Sentences of all items are topics, whether 100 divides their ids or not; the counterpart says the same."""
+    found = {tuple(r) for r in catalog.evaluation_grid(spark, tables).collect()}
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tables}/{table}.parquet/*.parquet')")
+    assert found == set(connection.execute(catalog.ORACLES["evaluation_grid"]).fetchall())
+    held = {i * 1000 + k for i, text in BENCHMARK for k, q in enumerate(sentences(text)) if any(len(set(q) & set(s)) >= 4 for _, t in DOCUMENTS for s in sentences(t))}
+    assert {query for _, query, *_ in found} == held
+
+
+def test_topics_of_undivided_items_are_evaluated(spark, tables, monkeypatch):
+    rows = [(7, "the old river ran down to the sea"), (8, "then yes, the old river ran")]
+    monkeypatch.setattr(catalog, "table", lambda s, d, n, own=catalog.table: s.createDataFrame(rows, "item_id long, text string") if n == "benchmark" else own(s, d, n))
+    assert {r["query_id"] for r in catalog.evaluation_grid(spark, tables).collect()} == {7000, 8000}
