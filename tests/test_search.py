@@ -244,3 +244,12 @@ def test_plain_texts_have_the_same_tokens(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     told = rows.select("k", S.F.transform(T.sentence_array(S.F.col("text")), T.token_array).alias("words")).collect()
     assert [r["words"] for r in sorted(told)] == [S.plain_words(t) for t in texts]
+
+
+def test_a_floor_below_the_last_place_drops_nothing(spark, tables):
+    """A document's first sentence is its floor, also where it is known to be below the last place and was not scored."""
+    _, vocab, _ = tables
+    docs = spark.createDataFrame([(k, "far. red. now. red") for k in range(2000)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red")], "query_id long, query string")
+    found = S.search_corpus(docs, vocab, queries, S.Options(similarity_threshold=0.9, max_matches=5)).orderBy("place").collect()
+    assert [(r["doc_id"], r["sentence_id"]) for r in found] == [(1999, 3), (1999, 1), (1998, 3), (1998, 1), (1997, 3)]
