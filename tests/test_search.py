@@ -253,3 +253,30 @@ def test_a_floor_below_the_last_place_drops_nothing(spark, tables):
     queries = spark.createDataFrame([(1, "red")], "query_id long, query string")
     found = S.search_corpus(docs, vocab, queries, S.Options(similarity_threshold=0.9, max_matches=5)).orderBy("place").collect()
     assert [(r["doc_id"], r["sentence_id"]) for r in found] == [(1999, 3), (1999, 1), (1998, 3), (1998, 1), (1997, 3)]
+
+
+MADE = [S.Options(similarity_threshold=0.3), S.Options(metrics=("cosine", ("p-norm", "maximum", 0.25)), idf_weight=0.5, similarity_falloff=2.0, pos_mismatch_penalty=0.5, similarity_threshold=0.05)]
+
+
+@pytest.mark.parametrize("options", MADE)
+def test_no_pair_of_words_leaves_the_executors(tables, options, monkeypatch):
+    docs, vocab, queries = tables
+    needle = S.needles(queries, options)
+    old = S.word_table(S.scored_vocabulary(needle, S.similarities(vocab, needle, options), options), needle, options)
+    new = S.table_of(S.lexicon(needle, vocab, options, None), tuple(old.needles), options)
+    assert (new.names, new.needles) == (old.names, old.needles)
+    for word, k in new.words.items():
+        own = old.words.get(word, 0)
+        assert new.likeness[k] == pytest.approx(old.likeness[own], rel=1e-12)
+        assert (new.origins[k] == old.origins[own]).all() and (new.other[k] == old.other[own]).all()
+    monkeypatch.setattr(S, "similarities", None)  # would store a row for each pair, 30 bytes or more
+    assert S.search_corpus(docs, vocab, queries, options).count() > 0
+
+
+def test_alignments_up_to_a_place(tables):
+    options = S.Options(similarity_threshold=0.3)
+    every = S.search_corpus(*tables, options).orderBy("query_id", "place").collect()
+    some = S.search_corpus(*tables, options, told=2).orderBy("query_id", "place").collect()
+    assert some == [r for r in every if r["place"] <= 2]
+    none = S.search_corpus(*tables, options, told=0).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], r["match"]) for r in none] == [(r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], None) for r in every]
