@@ -196,6 +196,23 @@ def test_contextual_search(spark, tables, tmp_path, encoder):
             contextual.NEEDLE_NUMBERS = kept
 
 
+@pytest.mark.parametrize("options", [S.Options(), S.Options(max_matches=5, min_score=0.7), S.Options(floor="none", bidirectional=True), S.Options(submatch_weight=2.0, max_matches=20)])
+def test_contextual_search_of_documents_is_that_of_a_store(spark, tables, tmp_path, encoder, options, monkeypatch):
+    docs, _, queries = tables
+    contextual.build(corpus.sentences(docs), encoder, str(tmp_path / "store"))
+    store = spark.read.parquet(str(tmp_path / "store"))
+    rows = lambda found: {(r["query_id"], r["doc_id"], r["sentence_id"]): r for r in found.collect()}
+    want = rows(contextual.search(store, queries, encoder, options))
+    monkeypatch.setattr(contextual, "BLOCK", 500)
+    found = rows(contextual.search_documents(docs, queries, encoder, options))
+    # a store's scores come from products of matrices, which differ in the last digit: of equal ones another may come first
+    assert len(want) and sorted(r["score"] for r in found.values()) == pytest.approx(sorted(r["score"] for r in want.values()))
+    last = {q: min(r["score"] for r in want.values() if r["query_id"] == q) for q in {k[0] for k in want}}
+    for k, r in want.items():
+        if r["score"] > last[k[0]] + 1e-9:
+            assert found[k]["match"] == r["match"] and found[k]["score"] == pytest.approx(r["score"])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_upper_scores_are_none_less(seed):
     rng = np.random.default_rng(seed)
