@@ -297,3 +297,46 @@ def test_alignments_up_to_a_place(tables):
     assert some == [r for r in every if r["place"] <= 2]
     none = S.search_corpus(*tables, options, told=0).orderBy("query_id", "place").collect()
     assert [(r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], r["match"]) for r in none] == [(r["query_id"], r["place"], r["doc_id"], r["sentence_id"], r["score"], None) for r in every]
+
+
+def test_parts_share_one_scan_of_few_tasks(tables, monkeypatch):
+    """What tasks let out for the final cut doesn't grow with parts or with partitions of the documents."""
+    docs, vocab, queries = tables
+    options = S.Options(similarity_threshold=0.2, max_matches=9)
+    told = ["query_id", "place", "doc_id", "sentence_id", "score"]
+    want = S.search(corpus.sentences(docs), vocab, queries, options).select(told).orderBy("query_id", "place").collect()
+    needle = S.needles(queries, options)
+    widest = max(r["count"] for r in needle.groupBy("query_id").count().collect())
+    monkeypatch.setattr(S, "TABLE_CELLS", (vocab.count() + needle.select("t_token").distinct().count() + 1) * widest)
+    assert len(S.needle_parts(needle, vocab, options)) > 1
+    found = S.search_corpus(docs.repartition(50), vocab, queries, options, told=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    assert "Repartition" in plan.split("MapInPandas")[1].replace("Repartition 50", "", 1)
+    monkeypatch.setattr(S, "WAITING", 1000)
+    assert want
+    assert S.search_corpus(docs.repartition(5), vocab, queries, options, told=0).select(told).orderBy("query_id", "place").collect() == want
+
+
+def test_bounds_are_none_less_and_the_floor_needs_no_alignment(monkeypatch):
+    rng = np.random.default_rng(5)
+    likeness = np.where(rng.random((40, 9)) < 0.2, rng.random((40, 9)), 0.0)
+    likeness[0] = 0
+    table = S.Table({}, likeness, likeness < 0, np.zeros(likeness.shape, np.int8), [None], {1: (0, [1.0] * 2), 2: (2, [1.0] * 7)})
+    scan = S.Scan(table, S.Options())
+    sizes = [rng.integers(1, 12, 30) for _ in range(5)]
+    rows = S.Rows.of(tuple(range(5)), tuple(sizes), rng.integers(0, 40, sum(int(x.sum()) for x in sizes)))
+    bounds = scan.bounds(rows)
+    for k, (first, weights) in enumerate(scan.needles.values()):
+        for i, n in enumerate(rows.length):
+            cells = likeness[rows.flat[rows.start[i] : rows.start[i] + n], first : first + len(weights)][None]
+            raw = float(align.raw_scores(cells, np.array([n]), align.gap_costs(20, 5, 12)[None])[0])
+            assert bounds[k, i] >= raw
+            assert (bounds[k, i] == align.FLOOR) == (not cells.any())
+    aligned = []
+    monkeypatch.setattr(align, "raw_scores", lambda s, n, c, f=align.raw_scores: (aligned.extend(np.abs(s).reshape(len(s), -1).max(axis=1)), f(s, n, c))[1])
+    for d, size in enumerate(sizes):
+        scan.add(d, size.astype(np.int64), np.concatenate([rows.flat[rows.start[i] : rows.start[i] + rows.length[i]] for i in range(30 * d, 30 * d + 30)]))
+    assert len(list(scan.found())) > 50
+    assert aligned
+    assert min(aligned) > 0
