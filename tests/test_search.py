@@ -340,3 +340,23 @@ def test_bounds_are_none_less_and_the_floor_needs_no_alignment(monkeypatch):
     assert len(list(scan.found())) > 50
     assert aligned
     assert min(aligned) > 0
+
+
+def test_vectors_are_laid_out_without_another_copy_of_all():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    chunk = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * 2000 + 1, 16, dtype=np.int32)), pa.array(np.arange(32000.0)))
+    column = pa.chunked_array([chunk] * 20)
+    tracemalloc.start()
+    out, sizes = S._laid_out(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out == np.tile(np.arange(32000.0).reshape(-1, 16), (20, 1))).all()
+    assert (sizes == 16).all()
+    assert peak < 1.5 * out.nbytes
+    rows = pa.chunked_array([pa.array([[1.0, None], None, [], [3.0]], pa.list_(pa.float32())), pa.array([[5.0]], pa.list_(pa.float32()))])
+    out, sizes = S._laid_out(rows)
+    assert np.array_equal(out, [[1, np.nan], [0, 0], [0, 0], [3, 0], [5, 0]], equal_nan=True)
+    assert sizes.tolist() == [2, 0, 0, 1, 1]
